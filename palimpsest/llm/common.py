@@ -98,7 +98,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data, at - at[0]
 
 
-def slices(at: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about so many bytes together, or one longer text."""
     i, n = 0, len(at) - 1
     while i < n:

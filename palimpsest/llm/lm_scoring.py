@@ -31,6 +31,8 @@ WEIGHTS = (0.1, 0.35, 0.6, 0.75)
 STEP, LANES, RATE = 128, 64, 0.4
 #: Cells of a table in one bucket.
 PIECE = 1 << 20
+#: Bytes of text in a batch, and in what is counted or hashed at a time.
+BATCH_BYTES, SLICE = 4_000_000, 1_000_000
 QUANTUM = 16.0
 #: Zero bytes before each text.
 PAD = 4
@@ -60,8 +62,8 @@ def contexts(prev: list[np.ndarray], order: int, bits: int) -> np.ndarray:
 
 def count_cells(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each table, the cells (context, next byte) that these texts fill, rising, and how often."""
-    sums = [np.zeros(1 << (bits + 8), np.int64) for _, bits in TABLES]
-    for i, j in c.slices(at):
+    parts: list[list[np.ndarray]] = [[] for _ in TABLES]
+    for i, j in c.slices(at, SLICE):
         size = np.diff(at[i : j + 1])
         n, k = int(size.sum()), j - i
         flat = np.zeros(n + (PAD + 1) * k, np.uint8)
@@ -72,9 +74,15 @@ def count_cells(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.n
             coded[ends - size - PAD - 1 + d] = False
         where = np.flatnonzero(coded)
         prev, own = [flat[where - d - 1] for d in range(PAD)], flat[where]
-        for (order, bits), into in zip(TABLES, sums):
-            into += np.bincount(contexts(prev, order, bits) * 256 + own, minlength=len(into))
-    return [(cells := np.flatnonzero(s), s[cells]) for s in sums]
+        for (order, bits), into in zip(TABLES, parts):
+            into.append((contexts(prev, order, bits) << 8) + own)
+    out = []
+    for (_, bits), part in zip(TABLES, parts):  # one table's sums at a time
+        sums = np.bincount(np.concatenate(part) if part else np.zeros(0, np.int32), minlength=1 << (bits + 8))
+        cells = np.flatnonzero(sums)
+        out.append((cells, sums[cells]))
+        del sums
+    return out
 
 
 def logits(cells: np.ndarray) -> np.ndarray:
@@ -126,7 +134,7 @@ def code_lengths(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) ->
     return out
 
 
-def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: int = c.BATCH_BYTES) -> DataFrame:
+def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """A row for each document: counts of its tokens, the unigram base score, and the model's score.
 
     held_out: true for documents that the model must not learn from; by default crc32(doc_id) mod 5 = 1.
