@@ -22,11 +22,19 @@ from pyspark.sql import functions as F
 WINDOW = 13
 MOST_BROADCAST = 1_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is between lower-cased words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    """The words of a text, each as its UTF-8 bytes read as Latin-1: equal just if the words are.
+
+    Lower-casing then changes A to Z and first bytes of characters beyond ASCII; those stay told apart, as the number
+    of bytes that follow (which it leaves alone) says which first byte it was. It and split() are several times faster
+    than translate() and the extraction of matches.
+    """
+    lower = F.lower(F.decode(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), "ISO-8859-1"))
+    return F.filter(F.split(lower, BETWEEN), lambda w: w != "")
 
 
 def _hashes(own: str = "words") -> Column:
@@ -77,7 +85,7 @@ def covered(found: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, n_words, n_hit, items and contaminated (at least a twentieth of its words, and one, hit) of each document."""
-    size = F.regexp_count(F.coalesce(F.translate(F.col("text").cast("string"), ascii_uppercase, ascii_lowercase), F.lit("")), F.lit(WORD))
+    size = F.size(words(F.col("text")))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.cast("bigint").alias("n_words"))
     found = covered(hits(docs, benchmark, window, most_broadcast))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
