@@ -1,7 +1,8 @@
 """WARC archives as a chunked record table (operator 6).
 
-A record is rows (record_id, chunk_no, data, running_sha1): chunk 0 is the WARC header, the others the record's block
-and closing blank lines, in pieces of at most CHUNK bytes, gzipped as one member that is flushed after each piece. A
+A record is rows (record_id, chunk_no, chunks, data, running_sha1): the WARC header, block and closing blank lines, cut
+after every CHUNK bytes of payload and gzipped as one member that is flushed at each cut. Records of one row are read
+where they lie; the rows of longer ones are dealt out by record_id and sorted. A
 payload is cut natively where it is read, and from there on only pieces move: writer and reader hold one piece and the
 running state of SHA-1 and gzip, whatever the record's size. Each row carries the digest of the payload up to and with
 its piece, so a reader finds the first damaged piece.
@@ -31,7 +32,7 @@ from palimpsest.llm import common as c
 CHUNK = 1 << 20
 DATE = "2026-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-TABLE = "record_id string, chunk_no bigint, data binary, running_sha1 string"
+TABLE = "record_id string, chunk_no bigint, chunks bigint, data binary, running_sha1 string"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -59,15 +60,16 @@ def write_records(batches):
     for batch in batches:
         out = []
         for row in batch.to_pylist():
+            head = b""
             if row["piece"] == 0:
-                packer, digest = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1()
-                out.append((row["record_id"], 0, packer.compress(_header(row)) + packer.flush(zlib.Z_SYNC_FLUSH), digest.hexdigest()))
+                packer, digest, head = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1(), _header(row)
             data = row["data"] or b""
             digest.update(data)
             last = row["piece"] == row["pieces"] - 1
-            packed = packer.compress(data + (b"\r\n\r\n" if last else b""))
-            out.append((row["record_id"], row["piece"] + 1, packed + packer.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH), digest.hexdigest()))
-        yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.string()))], ["record_id", "chunk_no", "data", "running_sha1"])
+            packed = packer.compress(head + data + (b"\r\n\r\n" if last else b""))
+            out.append((row["record_id"], row["piece"], row["pieces"], packed + packer.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH), digest.hexdigest()))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["record_id", "chunk_no", "chunks", "data", "running_sha1"])
 
 
 class _Record:
@@ -155,7 +157,9 @@ def records(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFra
 
 def read_records(table: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and url of each record of the table."""
-    return table.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(read_pieces, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
+    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
+    long = table.filter("chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    return table.filter("chunks = 1").mapInArrow(read_pieces, schema).unionByName(long.mapInArrow(read_pieces, schema))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
