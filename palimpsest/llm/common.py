@@ -50,9 +50,10 @@ def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame,
     return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n, total
 
 
-def words_of(text: Column) -> Column:
-    """Words as runs without ASCII white space, natively."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+def count_words(text: Column) -> Column:
+    """How many runs without ASCII white space a (non-null) text has, natively."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("bigint")
 
 
 # --- words as arrays ------------------------------------------------------------------------------

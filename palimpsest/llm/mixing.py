@@ -40,7 +40,7 @@ def form(text: Column) -> Column:
 def _placed(docs: DataFrame, topic: Column | None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blank = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
-    return docs.withColumns({"__source": blank("source"), "__lang": blank("lang"), "__topic": form(text) if topic is None else topic, "__words": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")})
+    return docs.withColumns({"__source": blank("source"), "__lang": blank("lang"), "__topic": form(text) if topic is None else topic, "__words": c.count_words(text)})
 
 
 def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, sweeps: int = SWEEPS) -> DataFrame:
