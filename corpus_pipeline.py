@@ -20,9 +20,8 @@ LEAST_SCORE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(~language_id.default_held_out()))
-    own = docs.withColumn("__whole", F.col("text"))
-    told = language_id.predict(own, model, [x for x in docs.columns if x != "text"] + ["__whole"])
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumnRenamed("__whole", "text").select(*docs.columns)
+    told = language_id.predict(docs, model, docs.columns, ("__lang_pred", "__score"))
+    return told.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

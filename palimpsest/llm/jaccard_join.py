@@ -173,9 +173,9 @@ def _task(a: _Block, b: _Block, same: bool, least: dict[int, int], threshold: fl
         else:
             m = len(a)
             for i in range(0, m, 512):
-                part = link[i : i + 512]
-                label[i : i + 512] = np.minimum(label[i : i + 512], np.where(part, label[m:], np.iinfo(np.int64).max).min(1))
-                label[m:] = np.minimum(label[m:], np.where(part, label[i : i + 512, None], np.iinfo(np.int64).max).min(0))
+                part, end = link[i : i + 512], min(i + 512, m)
+                label[i:end] = np.minimum(label[i:end], np.where(part, label[m:], np.iinfo(np.int64).max).min(1))
+                label[m:] = np.minimum(label[m:], np.where(part, label[i:end, None], np.iinfo(np.int64).max).min(0))
         if (label == before).all():
             break
     on = sums > 0
@@ -215,7 +215,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     def sign(batches):
         for batch in batches:
             data, at = c.text_bytes(batch.column("text"))
-            for i, j in c.slices(at, 4_000_000):
+            for i, j in c.slices(at, 2_000_000):
                 part = batch.slice(i, j - i)
                 sets, bounds = shingles(part.column("text"))
                 values = minhashes(sets, bounds)

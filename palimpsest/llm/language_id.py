@@ -24,6 +24,8 @@ from palimpsest.llm import common as c
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 800
+#: Bytes of rows that are scored at a time, about.
+SLICE = 4_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.0005, 3
 
 
@@ -126,29 +128,32 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     return languages, idf, w, t
 
 
-def predict(docs: DataFrame, model, also: list[str]) -> DataFrame:
-    """The columns of also, lang_pred and score; docs has text and those columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model, also: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of also, and the prediction and its score under the names given; docs has text and those columns."""
+    results, shared = names, docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*also, F.when(letter, F.col("text").cast("string")).alias("__text"))
-    schema = rows.drop("__text").schema.simpleString()[7:-1]
+    rows = docs.select(*also, *(["text"] if "text" not in also else []), letter.alias("__letter"))
+    schema = rows.select(*also).schema.simpleString()[7:-1]
 
     def score(batches):
-        for batch in batches:
-            text = batch.column("__text")
-            names, scores = ["und"] * len(text), np.zeros(len(text))
-            if shared.value is not None:
-                languages, idf, w, t = shared.value
-                on_rows = np.flatnonzero(np.asarray(text.is_valid()))
-                for k, (on, count) in zip(on_rows, counted(text.filter(text.is_valid()))):
-                    logit = weighted(on, count, idf) @ w[on] / t
-                    p = np.exp(logit - logit.max())
-                    best = int(p.argmax())
-                    names[k], scores[k] = languages[best], p[best] / p.sum()
-            columns = {n: batch.column(n) for n in also}
-            yield pa.record_batch(columns | {"__lang_pred": pa.array(names, pa.string()), "__score": pa.array(scores, pa.float64())})
-
-    return rows.mapInArrow(score, f"{schema}, __lang_pred string, __score double").withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
+        for whole in batches:
+            size = max(1, whole.num_rows * SLICE // max(1, whole.nbytes))
+            for start in range(0, whole.num_rows, size):
+                batch = whole.slice(start, size)
+                letter = batch.column("__letter")
+                names, scores = ["und"] * len(letter), np.zeros(len(letter))
+                if shared.value is not None:
+                    languages, idf, w, t = shared.value
+                    on_rows = np.flatnonzero(letter.to_numpy(zero_copy_only=False))
+                    for k, (on, count) in zip(on_rows, counted(batch.column("text").filter(letter))):
+                        logit = weighted(on, count, idf) @ w[on] / t
+                        p = np.exp(logit - logit.max())
+                        best = int(p.argmax())
+                        names[k], scores[k] = languages[best], p[best] / p.sum()
+                columns = {n: batch.column(n) for n in also}
+                yield pa.record_batch(columns | {"__lang_pred": pa.array(names, pa.string()), "__score": pa.array(scores, pa.float64())})
+
+    return rows.mapInArrow(score, f"{schema}, __lang_pred string, __score double").withColumnsRenamed(dict(zip(("__lang_pred", "__score"), results)))
 
 
 def language_id(docs: DataFrame, held_out: Column | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
