@@ -1,15 +1,15 @@
 """LM scoring (operator 2): online logistic context mixing over bits.
 
 Three predictors give each bit of a text's UTF-8 bytes (and of one closing zero byte) a probability from counts of
-bits after hashed contexts of two, three and four bytes. Their logits are mixed with weights gated by the bit's place in
-its byte and by whether the longest context is known; weights start as the constants below and are refined online,
+bits after hashed contexts of two, four and six bytes. Their logits are mixed with weights gated by the bit's place in
+its byte; weights start as the constants below and are refined online,
 within each document, after every STEP bytes. Bits are coded before they are learned from, so a score is the log10
 probability of the whole text under one model, and score / log10(2) / bytes is minus its bits per byte.
 
 Counts come from all training documents: a table of bounded size for each context, of whose cells each batch sends
 those it saw, and the counts of all words, which grow with the corpus and are never broadcast: a batch sends its
 distinct words as a sorted set of 64-bit hashes to buckets and gets back their counts. Only the quantised context
-tables (TABLES, 14 MB whatever the input) are broadcast.
+tables (TABLES, 50 MB whatever the input) are broadcast.
 
 Null or empty texts have one token, the end. Repeated rows count as often as they stand. Without training documents
 all counts are zero (N = V = 0). Texts of any length are scored whole. Extra columns are not read.
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm import common as c
 
 #: Bytes of context, and bits of its hash.
-TABLES = ((2, 13), (3, 14), (4, 15))
-#: Weights of the three logits, and of the second where the third context is unknown.
-WEIGHTS = (0.1, 0.35, 0.6, 0.75)
+TABLES = ((2, 13), (4, 16), (6, 17))
+#: Weights of the three logits.
+WEIGHTS = (0.2, 0.5, 0.3)
 STEP, LANES, RATE = 128, 64, 0.4
 #: Cells of a table in one bucket.
 PIECE = 1 << 20
@@ -35,7 +35,7 @@ PIECE = 1 << 20
 BATCH_BYTES, SLICE = 4_000_000, 1_000_000
 QUANTUM = 16.0
 #: Zero bytes before each text.
-PAD = 4
+PAD = 6
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -77,11 +77,11 @@ def count_cells(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.n
         for (order, bits), into in zip(TABLES, parts):
             into.append((contexts(prev, order, bits) << 8) + own)
     out = []
-    for (_, bits), part in zip(TABLES, parts):  # one table's sums at a time
-        sums = np.bincount(np.concatenate(part) if part else np.zeros(0, np.int32), minlength=1 << (bits + 8))
-        cells = np.flatnonzero(sums)
-        out.append((cells, sums[cells]))
-        del sums
+    for part in parts:  # one table at a time
+        seen = np.sort(np.concatenate(part)) if part else np.zeros(0, np.int32)
+        starts = c.runs(seen)
+        out.append((seen[starts], np.diff(starts, append=len(seen))))
+        part.clear()
     return out
 
 
@@ -114,7 +114,6 @@ def code_lengths(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) ->
             prev = [own[:m, PAD - 1 - d + start : PAD - 1 - d + start + STEP] for d in range(PAD)]
             node, sign = _NODE[part], _SIGN[part]
             logit = [t.take((contexts(prev, o, b) << 8)[:, :, None] + node).astype(np.float32) for t, (o, b) in zip(tables, TABLES)]
-            logit.append(np.where(logit[2] == 0, logit[1], np.float32(0)))
             x = logit[0] * weights[0][:m]
             for s, w in zip(logit[1:], weights[1:]):
                 x += s * w[:m]
