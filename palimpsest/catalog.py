@@ -326,6 +326,11 @@ def row_digest_limbs(spark, d):
     return digest.limbs(_m(spark, d), ["w"]).select("w", "n", *[F.col(f"l{k}").cast("bigint").alias(f"l{k}") for k in range(4)])
 
 
+@query(f", h AS (SELECT w, c, ts, seq, {' || '.join(_hex(_P if n == 'p' else n) for n in digest.ROW)} AS r FROM m) SELECT w, count(*) AS n, sha256(unhex(string_agg(r, '' ORDER BY c, ts, seq) || {_hex('count(*)')})) AS digest FROM h GROUP BY w")
+def ordered_digest(spark, d):
+    return digest.ordered_digest(_m(spark, d), "w")
+
+
 @query(f" SELECT 'same' AS what, true AS equal UNION ALL SELECT 'one less', false")
 def digest_compare(spark, d):
     rows = _m(spark, d).select(*_EVENT)

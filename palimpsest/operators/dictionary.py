@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.schema import StoreError
+
 #: Actors that are no players, and the first id of players.
 ACTORS = {0: "#unknown", 1: "#engine", 2: "#tests"}
 FIRST_PLAYER = 16
@@ -33,3 +35,22 @@ def assign(names: DataFrame, known: DataFrame, first: int = FIRST_PLAYER) -> Dat
     new = names.select("name").distinct().filter(valid_name(F.col("name"))).join(known.select("name"), "name", "left_anti")
     new = new.withColumn("k", F.row_number().over(W.orderBy("name"))).join(F.broadcast(last), how="cross")
     return known.select("id", "name").unionByName(new.select((F.col("last") + F.col("k")).cast("int").alias("id"), "name"))
+
+
+#: Lines of a dictionary file: of actors (id, uuid and name, by tabs), and of worlds and states (name=id).
+ACTOR_LINE, NAMED_LINE = "^([0-9]{1,10})\t([0-9a-f-]{36})\t([^\t]*)$", "^(.*)=([0-9]{1,10})$"
+
+
+def load(spark: SparkSession, path: str, actors: bool = False, first: int = 0, last: int = (1 << 31) - 1) -> DataFrame:
+    """id, name (and uuid of actors) of a dictionary file. Raises on lines that don't parse, ids out of range and repeats."""
+    line = F.col("value")
+    pattern = ACTOR_LINE if actors else NAMED_LINE
+    part = lambda k: F.regexp_extract(line, pattern, k)
+    columns = [part(1).alias("id"), part(3).alias("name"), part(2).alias("uuid")] if actors else [part(2).alias("id"), part(1).alias("name")]
+    rows = spark.read.text(path).filter(line != "").select(line.rlike(pattern).alias("good"), *columns)
+    rows = rows.withColumn("id", F.when(F.col("id") != "", F.col("id").cast("bigint")))
+    unique = ["id", "uuid"] if actors else ["id", "name"]
+    bad = rows.filter(~F.col("good") | ~F.col("id").between(first, last) | ~valid_name(F.col("name")))
+    if not bad.isEmpty() or any(not rows.groupBy(c).count().filter("count > 1").isEmpty() for c in unique):
+        raise StoreError("CORRUPT", f"{path} is not a dictionary")
+    return rows.drop("good").withColumn("id", F.col("id").cast("int"))

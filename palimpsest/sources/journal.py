@@ -7,7 +7,9 @@ there are; each is parsed in a task in order, and the end is found by a minimum
 
 from __future__ import annotations
 
+import os
 import struct
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,89 @@ def parse(start: int, data: bytes):
         at = end + 4
 
 
+def append_point(folder: str, floor: int = 0) -> int:
+    """The LSN to go on at: after the last good frame, or a floor above it. What is behind that frame is cut off."""
+    names, at = sorted(n for n in os.listdir(folder) if n.endswith(".log")), floor
+    for k, name in enumerate(names):
+        path, start = os.path.join(folder, name), int(name.split(".")[0])
+        with open(path, "rb") as f:
+            end = start
+            for lsn, _, payload, good in parse(start, f.read()):
+                end = lsn + _HEAD.size + len(payload) + 4 if good else lsn
+        if end < start + os.path.getsize(path):
+            os.truncate(path, end - start)
+            for later in names[k + 1 :]:
+                os.remove(os.path.join(folder, later))
+            return max(end, floor)
+        at = max(at, end)
+    return at
+
+
+class Writer:
+    """Appends frames to segments that a process of its own, not a task, keeps; a new one begins at so many bytes."""
+
+    def __init__(self, folder: str, segment_bytes: int = 64 << 20, floor: int = 0):
+        self.folder, self.most, self.lsn, self.file = folder, segment_bytes, append_point(folder, floor), None
+
+    def append(self, kind: int, payload: bytes) -> int:
+        """The LSN of the new frame, which is on disk when force() has returned."""
+        if kind not in (EVENTS, GAP, CAPTURED, CLOSE):
+            raise ValueError(f"no frame type {kind}")
+        if self.file is None or self.lsn - self.start >= self.most:
+            self.close()
+            self.start, self.file = self.lsn, open(os.path.join(self.folder, f"{self.lsn:020}.log"), "xb")
+        at, data = self.lsn, frame(self.lsn, kind, payload)
+        self.file.write(data)
+        self.lsn += len(data)
+        return at
+
+    def force(self) -> None:
+        if self.file is not None:
+            self.file.flush()
+            os.fsync(self.file.fileno())
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.force()
+            self.file.close()
+            self.file = None
+
+
+_ENVELOPE = struct.Struct("<iiiiiiqiHBBi")
+
+
+@dataclass(frozen=True)
+class Envelope:
+    """An event with a payload of its own, as a frame carries it: 44 bytes, then its length and the payload."""
+
+    world: int
+    x: int
+    y: int
+    z: int
+    before: int
+    after: int
+    ts: int
+    actor: int
+    seq: int
+    cause: int
+    kind: int
+    version: int
+    payload: bytes
+
+    def encode(self) -> bytes:
+        return _ENVELOPE.pack(self.world, self.x, self.y, self.z, self.before, self.after, self.ts, self.actor, self.seq, self.cause, self.kind, self.version) + struct.pack("<i", len(self.payload)) + self.payload
+
+    @classmethod
+    def decode(cls, data: bytes) -> Envelope:
+        head = _ENVELOPE.size + 4
+        if len(data) < head:
+            raise ValueError("an envelope is cut short")
+        *values, size = struct.unpack_from("<iiiiiiqiHBBii", data)
+        if size != len(data) - head or not 0 <= values[0] < 4096 or min(values[4:6]) < 0 or max(values[4:6]) >= 1 << 24 or values[11] < 0:
+            raise ValueError("an envelope's fields don't hold together")
+        return cls(*values, data[head:])
+
+
 def replay(spark: SparkSession, folder: str, from_lsn: int = 0) -> DataFrame:
     """lsn, type and payload of the frames from an LSN on; a segment's file name is the LSN of its first byte."""
 

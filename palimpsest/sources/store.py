@@ -193,12 +193,14 @@ class Store:
             shards.append(new)
         return m | {"shards": shards, "next": shard + 1, "audit": [*m["audit"], {"action": action, "shard_id": shard if new["rows"] else 0, "affected": new["rows"]}]}
 
-    def seal(self) -> int:
+    def seal(self, most_files: int | None = None) -> int:
+        """Moves hot rows, or those of the first so many appends, into a shard; how many rows went."""
         m = self.manifest()
-        rows = self._read(m["hot"])
-        n = rows.count() if m["hot"] else 0
+        some = m["hot"][:most_files]
+        rows = self._read(some)
+        n = rows.count() if some else 0
         if n:
-            self._publish(self._replace(m, rows, [], "SEAL", multiset_digest(rows)) | {"hot": []})
+            self._publish(self._replace(m, rows, [], "SEAL", multiset_digest(rows)) | {"hot": m["hot"][len(some) :]})
         return n
 
     def compact(self, most_rows: int | None = None, most_shards: int = 1024) -> int:
@@ -232,6 +234,20 @@ class Store:
     def purge_actor(self, actor: int, from_ts: int, to_ts: int) -> int:
         return self._remove((F.col("actor") == actor) & (F.col("ts") >= from_ts) & (F.col("ts") < to_ts), {"actor": actor, "from_ts": from_ts, "to_ts": to_ts}, _gap(from_ts, to_ts - 1, 6))
 
+    def retain_shard(self, cutoff: int) -> int:
+        """expire_before() for the first live shard with older rows, and the gap from that shard's first row on."""
+        m = self.manifest()
+        old = next((s for s in sorted(self.live(m), key=lambda s: s["id"]) if s["min_ts"] < cutoff), None)
+        if old is None:
+            return 0
+        rows = self._read([old["name"]])
+        n = rows.filter(F.col("ts") < cutoff).count()
+        m = self._replace(m, rows.filter(F.col("ts") >= cutoff), [old["id"]], "REMOVE")
+        exclusion = {"actor": None, "from_ts": EARLIEST, "to_ts": cutoff}
+        more = [] if exclusion in m["exclusions"] else [exclusion]
+        self._publish(m | {"exclusions": [*m["exclusions"], *more], "gaps": [*m["gaps"], _gap(old["min_ts"], cutoff - 1, 5)]})
+        return n
+
     def record_gap(self, from_ts: int, to_ts: int, reason: int, dropped: int = -1, detail: str = "") -> None:
         m = self.manifest()
         self._publish(m | {"gaps": [*m["gaps"], _gap(from_ts, to_ts, reason, dropped, detail)]})
