@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +12,12 @@ from pyspark.sql import functions as F
 from palimpsest.functions import codec, digest, geometry
 from palimpsest.functions.geometry import Box
 from palimpsest.operators import dictionary, fold, gaps, reports
+from palimpsest.operators.rollback import COUNTERS, Rollbacks
 from palimpsest.plans.scan_plan import NEWEST, ScanPlan, page, scan, select
-from palimpsest.schema import CAUSES, KEY, KINDS, POSITION
+from palimpsest.schema import CAUSES, KEY, KINDS, MUTATION, POSITION
 from palimpsest.sources import mutations
+from palimpsest.sources.store import Store
+from palimpsest.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -424,3 +429,44 @@ def slot_clock_stamps(spark, d):
     from palimpsest.streaming.ingest import stamp_slots
 
     return stamp_slots(_m(spark, d).select((F.col("event_id") % 8).cast("int").alias("slot"), F.col("event_id").alias("n"), F.col("ts").alias("now")), 2)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; where none is configured (tests), a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palimpsest-")
+    return f"{base.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+@query(f" SELECT {_COLS} FROM m WHERE NOT (actor = 20 AND {_WIN}) AND ts >= {1767225600000 + 5 * DAY}")
+def maintenance_cycle(spark, d):
+    """What a store holds after appends, one of them twice, seals, a compaction, a purge and an expiry."""
+    rows, store, half = _m(spark, d), Store(spark, _scratch(spark)), 1767225600000 + 15 * DAY
+    for batch, part in enumerate((rows.filter(F.col("ts") < half), rows.filter(F.col("ts") >= half), rows)):
+        store.append(part, min(batch, 1))
+        store.seal()
+    store.compact()
+    store.purge_actor(20, FROM, TO)
+    store.expire_before(1767225600000 + 5 * DAY)
+    return store.rows().select(*_EVENT)
+
+
+@query(f" SELECT {_COLS} FROM m")
+def stream_append_idempotent(spark, d):
+    """What a store holds after a stream has been taken in, and again from its checkpoint."""
+    folder = _scratch(spark)
+    _m(spark, d).select(*MUTATION.names).write.parquet(f"{folder}/in")
+    store = Store(spark, f"{folder}/store")
+    for _ in range(2):
+        ingest.start(spark.readStream.schema(MUTATION).parquet(f"{folder}/in"), store, f"{folder}/checkpoint").awaitTermination()
+    return store.rows().select(*_EVENT)
+
+
+@query(f"{_CLASS} SELECT 2 AS state, CAST(sum(n) AS BIGINT) AS scanned, count(DISTINCT (w, c)) AS chunks, {_COUNTS}, CAST(0 AS BIGINT) AS contended FROM k")
+def rollback_operation(spark, d):
+    """The counters of a whole rollback in steps of five chunks, over a store."""
+    rows, store = _m(spark, d), Store(spark, _scratch(spark))
+    store.append(rows, 0)
+    world = mutations.world_state(rows)
+    rollbacks = Rollbacks(store, lambda: world, lambda writes: writes.write.format("noop").mode("overwrite").save(), chunks=5)
+    done = rollbacks.rollback(PLAN.world, PLAN.box, FROM, TO)
+    return spark.createDataFrame([(done.state, *(done.progress[k] for k in COUNTERS))], f"state int, {', '.join(f'{k} bigint' for k in COUNTERS)}")
