@@ -76,8 +76,8 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (kind number, start, stop, value, before; in the order of results) and candidates of each document."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """doc_id, text_hash, spans (kind number, start, stop, value, before; in the order of results) and candidates of each document."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     for name, pattern in [*PATTERNS.items(), ("candidate", CANDIDATE)]:
         between, found = _spans(pattern)
         needs = F.instr("text", "@") > 0 if name == "email" else F.instr("text", "+") > 0 if name == "phone" else F.col("text").rlike("[0-9]")
@@ -88,7 +88,7 @@ def mentions(docs: DataFrame) -> DataFrame:
         return F.transform(good, lambda s: F.struct(F.lit(k).alias("kind"), *[s[x].alias(x) for x in ("start", "stop", "value", "before")]))
 
     kinds = [own(k, name) for k, name in enumerate(KINDS)]
-    rows = rows.select("doc_id", F.concat(*kinds).alias("spans"), "candidate")
+    rows = rows.select("doc_id", "text_hash", F.concat(*kinds).alias("spans"), "candidate")
 
     def trimmed(s: Column) -> Column:
         front = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}]++", ""))
@@ -96,7 +96,7 @@ def mentions(docs: DataFrame) -> DataFrame:
         return F.struct((s["start"] + front).alias("start"), (s["start"] + front + F.length(value)).alias("stop"), value.alias("value"), s["before"].alias("before"))
 
     free = F.filter(F.transform("candidate", trimmed), lambda s: ~F.exists("spans", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return rows.select("doc_id", "spans", free.alias("candidates"))
+    return rows.select("doc_id", "text_hash", "spans", free.alias("candidates"))
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -133,14 +133,14 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, c
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """doc_id, base (spans of the patterns) and added (those discovered): kind number, start, stop, value, in order."""
+    """doc_id, text_hash, base (spans of the patterns) and added (those discovered): kind number, start, stop, value, in order."""
     found = c.saved(mentions(docs).withColumn("row", F.monotonically_increasing_id()))
     new = discovered(found, rounds, support, confidence)
     span = lambda s, k: F.struct(k.alias("kind"), *[s[x].alias(x) for x in ("start", "stop", "value")])
     rows = found.select("row", F.explode("candidates").alias("s")).join(new, F.col("s.value") == F.col("value"))
     added = rows.groupBy("row").agg(F.sort_array(F.collect_list(span(F.col("s"), F.col("kind")))).alias("added"))
     base = F.transform("spans", lambda s: span(s, s["kind"]))
-    out = found.join(added, "row", "left").select("doc_id", base.alias("base"), "added")
+    out = found.join(added, "row", "left").select("doc_id", "text_hash", base.alias("base"), "added")
     return out.withColumn("added", F.coalesce("added", F.filter("base", lambda s: F.lit(False))))
 
 
@@ -150,9 +150,14 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each span of a text replaced by its kind in capitals and brackets; spans that overlap become one."""
-    spans = find(docs).select(F.col("doc_id").alias("__id"), F.concat("base", "added").alias("__spans")).filter(F.size("__spans") > 0).groupBy("__id").agg(F.first("__spans").alias("__spans"))
-    rows = docs.join(spans, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
+    """docs with each span of a text replaced by its kind in capitals and brackets; spans that overlap become one.
+
+    Rows with a null doc_id, and different texts of one doc_id, each get the spans of their own text.
+    """
+    spans = find(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.concat("base", "added").alias("__spans"))
+    spans = spans.filter(F.size("__spans") > 0).groupBy("__id", "__hash").agg(F.first("__spans").alias("__spans"))
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.join(spans, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     order = F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
 

@@ -393,3 +393,9 @@ def test_pipeline(spark):
         if name == "pii":
             assert not any(re.search(BASE["email"], r["text"]) for r in left.collect())
     assert corpus_pipeline.run(spark, SF).count() == left.count()
+
+
+def test_redaction_of_repeated_and_null_ids(spark):
+    rows = [(1, "a@b.cd is here"), (1, "nothing"), (1, "ring +49 30 1234567 now"), (None, "at x@y.zz"), (None, None), (None, "10.0.0.1 up")]
+    got = [r["text"] for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(["[EMAIL] is here", "nothing", "ring [PHONE] now", "at [EMAIL]", "None", "[IP] up"])
