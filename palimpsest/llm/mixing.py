@@ -43,6 +43,11 @@ def _placed(docs: DataFrame, topic: Column | None) -> DataFrame:
     return docs.withColumns({"__source": blank("source"), "__lang": blank("lang"), "__topic": form(text) if topic is None else topic, "__words": c.count_words(text)})
 
 
+def _number(total: DataFrame) -> Column:
+    """The one number of a total, null if there is nothing to sum."""
+    return F.lit(total.first()[0]).cast("double")
+
+
 def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, sweeps: int = SWEEPS) -> DataFrame:
     """From source, lang, topic and words: these and ratio, the fitted over the own share of each cell."""
     cells = cells.filter("words > 0")
@@ -55,8 +60,7 @@ def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             want = own.withColumn("want", F.coalesce(F.element_at(given, F.col(d)), F.lit(0.0)))
         else:
             want = own.withColumn("want", F.pow("own", F.lit(power)))
-        total = want.agg(F.sum("want").alias("__total"))
-        wanted[d] = c.saved(want.join(F.broadcast(total), how="cross").select(d, (F.col("want") / F.col("__total")).alias("want")))
+        wanted[d] = c.saved(want.select(d, (F.col("want") / _number(want.agg(F.sum("want")))).alias("want")))
     for d in DIMENSIONS:
         now = now.join(wanted[d].withColumnRenamed("want", f"__{d}"), d)
     for sweep in range(sweeps):
@@ -65,9 +69,8 @@ def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             now = now.withColumn("share", F.when(total > 0, F.col("share") * F.col(f"__{d}") / total).otherwise(0.0))
         if sweep % STRIDE == STRIDE - 1:
             now = c.saved(now)
-    whole = now.agg(F.sum("words").alias("__all"), F.sum("share").alias("__fit"))
-    out = now.join(F.broadcast(whole), how="cross")
-    return out.select(*DIMENSIONS, "words", (F.col("share") / F.col("__fit") * F.col("__all") / F.col("words")).alias("ratio"))
+    every, fit = _number(now.agg(F.sum("words"))), _number(now.agg(F.sum("share")))
+    return now.select(*DIMENSIONS, "words", (F.col("share") / fit * every / F.col("words")).alias("ratio"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, topic: Column | None = None, power: float = POWER, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
