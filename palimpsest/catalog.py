@@ -422,6 +422,69 @@ def peak_after_gc(spark, d):
     return reports.peak_after_gc(e.select(F.floor(F.col("event_id") / 100).alias("gc"), F.col("user_id").alias("bytes")))
 
 
+@query(" SELECT event_id, ts * 65536 + seq AS stamp, ts, seq, CAST(seq % 64 AS INTEGER) AS slot FROM m")
+def stamp_decode(spark, d):
+    rows = _m(spark, d).select("event_id", codec.stamp(F.col("ts"), F.col("seq")).alias("stamp"))
+    return rows.select("event_id", "stamp", *[v.alias(k) for k, v in codec.unstamp(F.col("stamp")).items()])
+
+
+@query(" SELECT event_id, event_id % 100 * CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 1000 WHEN 'purchase' THEN 60000 WHEN 'signup' THEN 3600000 END AS ms FROM m")
+def duration_parse(spark, d):
+    """Durations in four units; those of other events have a unit that is none, and are null."""
+    unit = dictionary.named({1: "ms", 2: "s", 3: "m", 4: "h"}, F.col("a"), F.lit("w"))
+    return _m(spark, d).select("event_id", reports.duration_ms(F.concat((F.col("event_id") % 100).cast("string"), unit)).alias("ms"))
+
+
+@query(" SELECT event_id, CAST(user_id AS BIGINT) AS seen, CAST(x + 20 AS BIGINT) AS lost, CAST(NULL AS BIGINT) AS absent FROM m")
+def counter_extraction(spark, d):
+    line = F.format_string("op=%s unseen=7 seen=%s published=%s lost=%s", F.col("event_type"), F.col("user_id"), F.col("seq"), F.col("x") + 20)
+    rows = _m(spark, d).select("event_id", line.alias("line"))
+    return rows.select("event_id", *[reports.counter(F.col("line"), name).alias(name) for name in ("seen", "lost", "absent")])
+
+
+@query(""" SELECT event_id, CASE event_type WHEN 'view' THEN printf('%.1f MiB', (event_id * 1000 + 1) / 1048576.0) WHEN 'click' THEN printf('%.2f ms', (event_id * 10 + 3) / 1000.0)
+  WHEN 'purchase' THEN CAST(event_id AS VARCHAR) WHEN 'signup' THEN 'not measured' ELSE printf('%.3f', event_id + 0.0) END AS shown FROM m""")
+def metric_formats(spark, d):
+    n = F.col("event_id")
+    value = F.when(F.col("a") == 1, (n * 1000 + 1).cast("double")).when(F.col("a") == 2, (n * 10 + 3) / 1000.0).when(F.col("a") != 4, n.cast("double"))
+    unit = dictionary.named({1: "bytes", 2: "ms", 3: "count"}, F.col("a"), F.lit("B/op"))
+    return _m(spark, d).select("event_id", reports.formatted(value, unit).alias("shown"))
+
+
+@query(" SELECT event_id // 20 AS run, count(*) FILTER (a <> 0) AS verified, count(*) AS total, coalesce(string_agg(CAST(user_id AS VARCHAR), ', ' ORDER BY event_id) FILTER (a <> 4), '') AS delays FROM m GROUP BY 1")
+def crash_summary(spark, d):
+    """Reports of twenty restarts, of which some have no delay."""
+    rows = _m(spark, d).select(F.floor(F.col("event_id") / 20).alias("run"), "event_id", (F.col("a") != 0).alias("verified"), F.when(F.col("a") != 4, F.col("user_id")).alias("delay"))
+    return reports.crash_summary(rows, "run", "event_id")
+
+
+@query(" SELECT event_id // 20 AS run, count(*) FILTER (a = 4) AS lossy, CASE WHEN count(*) FILTER (a = 0) > 0 THEN 'failed' WHEN count(*) FILTER (a = 4) < 3 THEN 'vacuous' ELSE 'ok' END AS verdict FROM m GROUP BY 1")
+def vacuity_gate(spark, d):
+    rows = _m(spark, d).select(F.floor(F.col("event_id") / 20).alias("run"), (F.col("a") == 4).alias("lossy"), (F.col("a") != 0).alias("passed"))
+    return reports.vacuity(rows, "run", 3)
+
+
+@query(" SELECT event_id // 5 AS suite, count(*) FILTER (a = 0) = 0 AND count(*) FILTER (a = 4) = 0 AS passed FROM m GROUP BY 1")
+def suite_gate(spark, d):
+    count = lambda k, name: F.count_if(F.col("a") == k).alias(name)
+    suites = _m(spark, d).groupBy(F.floor(F.col("event_id") / 5).alias("suite")).agg(F.count("*").alias("tests"), count(0, "failures"), F.lit(0).alias("errors"), count(4, "skipped"))
+    return suites.select("suite", reports.suite_passed().alias("passed"))
+
+
+@query(f""", r AS (SELECT * FROM m WHERE ts < {TO}), x AS (SELECT {_COLS} FROM r), y AS (SELECT {_COLS} FROM m WHERE event_type <> 'error')
+SELECT 'missing' AS what, (SELECT count(*) FROM (SELECT * FROM y EXCEPT SELECT * FROM x)) AS n
+UNION ALL SELECT 'unexpected', (SELECT count(*) FROM (SELECT * FROM x EXCEPT SELECT * FROM y))
+UNION ALL SELECT 'repeated', (SELECT count(*) FROM (SELECT w, c, ts, seq FROM r GROUP BY ALL HAVING count(*) > 1))""")
+def exact_rows(spark, d):
+    rows = _m(spark, d)
+    return reports.exact(rows.filter(F.col("ts") < TO), rows.filter("event_type <> 'error'").select(*_EVENT), KEY)
+
+
+@query(" SELECT w, count(*) AS n, CASE WHEN max(ts) > min(ts) THEN round(count(*) * 1000.0::DOUBLE / (max(ts) - min(ts)), 9) END AS per_second FROM m GROUP BY w")
+def throughput(spark, d):
+    return _m(spark, d).groupBy("w").agg(F.count("*").alias("n"), F.round(reports.per_second(F.count("*"), F.max("ts") - F.min("ts")), 9).alias("per_second"))
+
+
 @query(""", s AS (SELECT CAST(event_id % 8 AS INTEGER) AS slot, event_id AS n, ts AS now FROM m)
 SELECT slot, n, now, max(now) OVER w AS ts, CAST(0 AS INTEGER) AS counter, true AS ok FROM s WINDOW w AS (PARTITION BY slot ORDER BY n)
 """)

@@ -35,16 +35,19 @@ def nearest_rank(rows: DataFrame, value: str, ranks=(50, 99)) -> DataFrame:
 
 
 def counter(line: Column, name: str) -> Column:
-    return F.regexp_extract(line, rf"\b{name}=([0-9]+)", 1).cast("bigint")
+    """The number of name=<number> in a line, null if it isn't there."""
+    return F.regexp_extract(line, rf"\b{name}=([0-9]+)", 1).try_cast("bigint")
 
 
 def formatted(value: Column, unit: Column) -> Column:
-    return (
+    """A measured value as text, by its unit, which may be null; `not measured` where there is no value."""
+    text = (
         F.when(unit == "bytes", F.format_string("%.1f MiB", value / 1048576.0))
         .when(unit == "ms", F.format_string("%.2f ms", value))
         .when(unit == "count", F.format_string("%d", value.cast("bigint")))
         .otherwise(F.format_string("%.3f", value))
     )
+    return F.when(value.isNull(), "not measured").otherwise(text)
 
 
 def duration_ms(text: Column) -> Column:
@@ -64,3 +67,39 @@ def admitted(shards: DataFrame, budget: int) -> DataFrame:
 
 def peak_after_gc(samples: DataFrame) -> DataFrame:
     return samples.groupBy("gc").agg(F.sum("bytes").alias("bytes")).agg(F.max("bytes").alias("peak"), F.count("*").alias("collections"))
+
+
+def crash_summary(outcomes: DataFrame, run: str, at: str) -> DataFrame:
+    """Of each run's outcomes (verified, delay): how many, how many verified, and their delays in order, as text.
+
+    A run's outcomes are the restarts of one report, so its list is short.
+    """
+    delays = F.transform(F.sort_array(F.collect_list(F.when(F.col("delay").isNotNull(), F.struct(at, "delay")))), lambda s: s["delay"].cast("string"))
+    return outcomes.groupBy(run).agg(F.count_if("verified").alias("verified"), F.count("*").alias("total"), F.array_join(delays, ", ").alias("delays"))
+
+
+def vacuity(iterations: DataFrame, by: str, required: int) -> DataFrame:
+    """by, lossy and verdict: failed, or vacuous if all passed but fewer than required lost anything, or ok."""
+    out = iterations.groupBy(by).agg(F.count_if("lossy").alias("lossy"), F.count_if(~F.coalesce("passed", F.lit(False))).alias("__failed"))
+    return out.select(by, "lossy", F.when(F.col("__failed") > 0, "failed").when(F.col("lossy") < required, "vacuous").otherwise("ok").alias("verdict"))
+
+
+def suite_passed() -> Column:
+    """Whether a suite ran at least one test, and none failed, broke or was skipped; counts that are not there don't pass."""
+    none = [F.col(c) == 0 for c in ("failures", "errors", "skipped")]
+    return F.coalesce(none[0] & none[1] & none[2] & (F.col("tests") >= 1), F.lit(False))
+
+
+def exact(actual: DataFrame, expected: DataFrame, identity: list[str]) -> DataFrame:
+    """what and n: rows missing and unexpected (as sets), and identities that actual rows repeat. All 0: an exact match."""
+    names = expected.columns
+    sides = actual.select(*names, F.lit(True).alias("__a"), F.lit(False).alias("__e")).unionByName(expected.select(*names, F.lit(False).alias("__a"), F.lit(True).alias("__e")))
+    sides = sides.groupBy(*names).agg(F.max("__a").alias("__a"), F.max("__e").alias("__e"))
+    counts = sides.agg(F.count_if(~F.col("__a")).alias("missing"), F.count_if(~F.col("__e")).alias("unexpected"))
+    repeated = actual.groupBy(*identity).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n")).select(F.lit("repeated").alias("what"), "n")
+    return counts.unpivot([], ["missing", "unexpected"], "what", "n").unionByName(repeated)
+
+
+def per_second(n: Column, elapsed_ms: Column) -> Column:
+    """Throughput; null if no time went by."""
+    return F.when(elapsed_ms > 0, n * 1000.0 / elapsed_ms)

@@ -226,3 +226,21 @@ def test_names_and_reports(spark):
     assert s.select(reports.counter(F.col("s"), "applied")).first()[0] == 35
     f = spark.createDataFrame([(2097152.0, "bytes"), (1.234, "ms"), (7.0, "count"), (0.5, "x")], "v double, u string").select(reports.formatted(F.col("v"), F.col("u")).alias("t"))
     assert [r["t"] for r in f.collect()] == ["2.0 MiB", "1.23 ms", "7", "0.500"]
+
+
+def test_report_checks(spark):
+    from palimpsest.operators import reports
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
+    found = lambda a, e: {r["what"]: r["n"] for r in reports.exact(a, e, ["k"]).collect()}
+    assert found(rows, rows) == {"missing": 0, "unexpected": 0, "repeated": 1}
+    assert found(rows.filter("k = 1"), rows) == {"missing": 1, "unexpected": 0, "repeated": 0}
+    assert found(rows.filter("false"), rows.filter("false")) == {"missing": 0, "unexpected": 0, "repeated": 0}
+    suites = spark.createDataFrame([(1, 0, 0, 0), (0, 0, 0, 0), (3, 1, 0, 0), (3, 0, 0, 1), (3, 0, None, 0)], "tests int, failures int, errors int, skipped int")
+    assert [r[0] for r in suites.select(reports.suite_passed()).collect()] == [True, False, False, False, False]
+    runs = spark.createDataFrame([(1, True, True), (2, False, True), (3, True, False), (4, True, None)], "k int, lossy boolean, passed boolean")
+    assert dict(reports.vacuity(runs, "k", 1).select("k", "verdict").collect()) == {1: "ok", 2: "vacuous", 3: "failed", 4: "failed"}
+    shown = spark.createDataFrame([(None, "ms"), (1.5, None)], "v double, u string").select(reports.formatted(F.col("v"), F.col("u")))
+    assert [r[0] for r in shown.collect()] == ["not measured", "1.500"]
+    line = spark.createDataFrame([("seen=3",)], "s string").select(reports.counter(F.col("s"), "lost"))
+    assert line.first()[0] is None
