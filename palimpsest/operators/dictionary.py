@@ -31,10 +31,10 @@ def assign(names: DataFrame, known: DataFrame, first: int = FIRST_PLAYER) -> Dat
 
     Only names that are new, and different, are put in order, which one task does: they are users and states.
     """
-    last = known.agg(F.greatest(F.coalesce(F.max("id"), F.lit(first - 1)), F.lit(first - 1)).alias("last"))
+    last = max(known.agg(F.max("id")).first()[0] or 0, first - 1)
     new = names.select("name").distinct().filter(valid_name(F.col("name"))).join(known.select("name"), "name", "left_anti")
-    new = new.withColumn("k", F.row_number().over(W.orderBy("name"))).join(F.broadcast(last), how="cross")
-    return known.select("id", "name").unionByName(new.select((F.col("last") + F.col("k")).cast("int").alias("id"), "name"))
+    new = new.withColumn("k", F.row_number().over(W.orderBy("name")))
+    return known.select("id", "name").unionByName(new.select((F.lit(last) + F.col("k")).cast("int").alias("id"), "name"))
 
 
 #: Lines of a dictionary file: of actors (id, uuid and name, by tabs), and of worlds and states (name=id).

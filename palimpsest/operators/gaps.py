@@ -40,7 +40,9 @@ def without_excluded(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
 
 
 def low_watermark(rows: DataFrame, staged: DataFrame) -> DataFrame:
-    return rows.agg(F.min("ts").alias("f")).crossJoin(staged.agg(F.min("ts").alias("s"))).select(F.least("f", "s").alias("low_water"))
+    """The earliest ts of what is being written and of what is staged."""
+    least = [df.agg(F.min("ts").alias("ts")) for df in (rows, staged)]
+    return least[0].unionByName(least[1]).agg(F.min("ts").alias("low_water"))
 
 
 def loss_bounds(lost: DataFrame, by: str) -> DataFrame:

@@ -147,5 +147,6 @@ def replay(spark: SparkSession, folder: str, from_lsn: int = 0) -> DataFrame:
                 yield pd.DataFrame(list(parse(start, bytes(content))), columns=["lsn", "type", "payload", "ok"])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder).select("path", "content").mapInPandas(frames, FRAMES)
-    end = found.agg(F.min(F.when(~F.col("ok"), F.col("lsn"))).alias("end"))
-    return found.join(F.broadcast(end), how="cross").filter("ok and (end is null or lsn < end)").filter(F.col("lsn") >= from_lsn).select("lsn", "type", "payload")
+    end = found.agg(F.min(F.when(~F.col("ok"), F.col("lsn")))).first()[0]
+    whole = F.col("ok") if end is None else F.col("ok") & (F.col("lsn") < end)
+    return found.filter(whole & (F.col("lsn") >= from_lsn)).select("lsn", "type", "payload")
