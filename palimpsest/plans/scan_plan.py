@@ -56,7 +56,8 @@ class ScanPlan:
         if self.empty:
             return F.lit(False)
         keys = reduce(lambda p, q: p | q, [F.col("c").between(low, high) for low, high, _ in self.ranges])
-        out = (F.col("w") == self.world) & keys & (F.col("ts") >= self.from_ts) & (F.col("ts") < self.to_ts) & self.box.holds()
+        # where keys are computed, they are the dearest to test: last
+        out = (F.col("w") == self.world) & (F.col("ts") >= self.from_ts) & (F.col("ts") < self.to_ts) & self.box.holds() & keys
         if self.actors is not None:
             out &= F.col("actor").isin(*self.actors)
         if self.resume is not None:
