@@ -3,8 +3,9 @@
 Seeds are the spans of four fixed patterns (KINDS). The two words before a span are its contexts: the last word, and
 both. Candidates are other words with a digit. Spans and candidates make a graph of contexts and values; in each of
 ROUNDS, a context is scored for a kind by the share of its distinct values that are known to be of that kind, contexts
-with SUPPORT such values and a share of CONFIDENCE become patterns, and candidate values whose contexts have a mean
-share of CONFIDENCE become known in turn. Wherever a value that became known stands, its span is added, with its kind.
+with SUPPORT such values and a share of CONFIDENCE become patterns, and candidate values whose patterns have a mean
+share of CONFIDENCE become known in turn. A value known to be of another kind counts against a context in full; one of
+which nothing is known is what there is to discover, and counts UNKNOWN. Wherever a value that became known stands, its span is added, with its kind.
 Base spans always stay. Distinct values count, so copies of a document add no confidence.
 
 Offsets are in code points: a pattern's matches and the pieces between them alternate, so their lengths are summed.
@@ -34,6 +35,8 @@ KINDS = tuple(PATTERNS)
 #: Words with a digit.
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 ROUNDS, SUPPORT, CONFIDENCE = 2, 5, 0.9
+#: What a value of no known kind counts in a context, where one of another kind counts 1.
+UNKNOWN = 0.1
 CONTEXT_CHARS = 80
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -119,9 +122,10 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, c
     known, new = seeds, None
     for _ in range(rounds):
         of = edges.drop("kind").distinct().join(known, "value", "left")
-        shares = of.groupBy("context").agg(F.countDistinct("value").alias("all"), *[F.countDistinct(F.when(F.col("kind") == k, F.col("value"))).alias(f"k{k}") for k in range(len(KINDS))])
+        shares = of.groupBy("context").agg(F.countDistinct("value").alias("all"), F.countDistinct(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("known"), *[F.countDistinct(F.when(F.col("kind") == k, F.col("value"))).alias(f"k{k}") for k in range(len(KINDS))])
         best = F.greatest(*[F.struct(F.col(f"k{k}").alias("n"), F.lit(-k).alias("k")) for k in range(len(KINDS))])
-        scored = shares.select("context", best.alias("best"), "all").select("context", (-F.col("best.k")).alias("kind"), (F.col("best.n") / F.col("all")).alias("share"), ((F.col("best.n") >= support) & (F.col("best.n") >= confidence * F.col("all"))).alias("pattern"))
+        weight = F.col("known") + UNKNOWN * (F.col("all") - F.col("known"))
+        scored = shares.select("context", best.alias("best"), weight.alias("weight")).select("context", (-F.col("best.k")).alias("kind"), (F.col("best.n") / F.col("weight")).alias("share"), ((F.col("best.n") >= support) & (F.col("best.n") >= confidence * F.col("weight"))).alias("pattern"))
         fresh = edges.filter("kind is null").select("value", "context").join(scored.filter("pattern"), "context").select("value", "kind", "share")
         fresh = fresh.groupBy("value").agg(F.avg("share").alias("share"), F.max(F.struct("share", "kind")).alias("best")).filter(F.col("share") >= confidence)
         new = fresh.select("value", F.col("best.kind").alias("kind")).join(known.select("value").distinct(), "value", "left_anti")

@@ -321,6 +321,19 @@ def test_pii_bootstrapping(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: "hello, write to [EMAIL] soon", 9: "[PHONE]x [IP] [IP]", 10: None}
 
 
+@pytest.mark.parametrize("seeds,unseen", [(8, 1), (100, 12), (20, 20)])
+def test_pii_bootstrapping_with_its_defaults(spark, seeds, unseen):
+    rows = [f"hello, write to user{k}@mail.example soon" for k in range(seeds)] + [f"hello, write to member_{k} soon" for k in range(unseen)]
+    want = {seeds + k: [(0, f"member_{k}", 16)] for k in range(unseen)}
+    # no pattern: values of two kinds, and a few seeds among many other values
+    rows += [f"see under name{k}@mail.example" for k in range(8)] + [f"see under 10.0.0.{k}" for k in range(8)] + ["see under code_9"]
+    rows += [f"about the box{k}@mail.example" for k in range(6)] + [f"about the {k}th" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [(s["kind"], s["value"], s["start"]) for s in r["added"]] for r in pii.find(df).filter("size(added) > 0").collect()}
+    assert got == want
+    assert {r["text"] for r in pii.redacted(df).filter(F.col("doc_id").isin(list(want))).collect()} == {"hello, write to [EMAIL] soon"}
+
+
 def test_mixing(spark, docs, empty):
     cells = spark.createDataFrame([(s, g, t, w) for s, g, t, w in (("a", "en", "p", 600), ("a", "de", "p", 100), ("b", "en", "q", 50), ("b", "de", "p", 250), ("c", "en", "p", 0))], "source string, lang string, topic string, words bigint")
     targets = {"source": {"a": 0.5, "b": 0.5, "none": 9}, "lang": {"en": 0.4, "de": 0.6}, "topic": {"p": 0.8, "q": 0.2}}
