@@ -3,7 +3,7 @@
 1. Equal texts are one class; its smallest doc_id stands for it.
 2. Each class gets MinHash values in BANDS bands. Classes that share a band with another go, through the smallest
    class of that band, into one candidate cluster (connected components by contraction, written between rounds).
-3. Clusters are cut into blocks of bounded size, and each pair of blocks is one task. Its pairs are compared MinHash
+3. Clusters are cut into blocks of bounded bytes and rows, and each pair of blocks is one task. Its pairs are compared MinHash
    value by value in steps; after each step a pair is dropped when the posterior probability that its similarity
    reaches the threshold, given the values that agree so far and a uniform prior, is below TOLERANCE.
 4. Pairs that stay are verified exactly on their sets of 64-bit shingle hashes. A task returns a number of links for
@@ -34,6 +34,8 @@ BANDS, ROWS = 40, 5
 STEP, TOLERANCE = 20, 1e-6
 #: Bytes of shingles in a block of a cluster.
 BLOCK_BYTES = 8_000_000
+#: Texts in a block: a flag is held for each pair of two blocks, and STRIPE pairs at a time are counted and compared.
+BLOCK_ROWS, STRIPE = 10_000, 2_000_000
 _SIGNED = "doc_id bigint, same binary, n_shingles int, minhash binary, bands array<bigint>"
 _LINKED = "id bigint, links bigint, root bigint"
 
@@ -140,19 +142,34 @@ def links_between(a: _Block, b: _Block, same: bool, least: dict[int, int], thres
     ra, na, rb, nb, width = _columns(a, b)
     order_a, order_b = np.argsort(na, kind="stable"), np.argsort(nb, kind="stable")
     ra, na, rb, nb = ra[order_a], na[order_a], rb[order_b], nb[order_b]
-    shared = np.zeros(out.shape, np.float32)
-    for k in range(0, width, 2048):
-        ia, ja = np.searchsorted(na, [k, k + 2048])
-        ib, jb = np.searchsorted(nb, [k, k + 2048])
-        if ia < ja and ib < jb:
-            rows_a, at_a = np.unique(ra[ia:ja], return_inverse=True)
-            rows_b, at_b = np.unique(rb[ib:jb], return_inverse=True)
-            left, right = np.zeros((len(rows_a), 2048), np.float32), np.zeros((len(rows_b), 2048), np.float32)
-            left[at_a, na[ia:ja] - k] = 1
-            right[at_b, nb[ib:jb] - k] = 1
-            shared[np.ix_(rows_a, rows_b)] += left @ right.T
-    both = shared.astype(np.float64)
-    return out & (both >= threshold * (a.size[:, None] + b.size - both) - 1e-9)
+    height = max(1, STRIPE // len(b))
+    for i in range(0, len(a), height):
+        shared = np.zeros((min(height, len(a) - i), len(b)), np.float32)
+        on = (ra >= i) & (ra < i + height)
+        rs, ns = ra[on] - i, na[on]
+        for k in range(0, width, 2048):
+            ia, ja = np.searchsorted(ns, [k, k + 2048])
+            ib, jb = np.searchsorted(nb, [k, k + 2048])
+            if ia < ja and ib < jb:
+                rows_a, at_a = np.unique(rs[ia:ja], return_inverse=True)
+                rows_b, at_b = np.unique(rb[ib:jb], return_inverse=True)
+                left, right = np.zeros((len(rows_a), 2048), np.float32), np.zeros((len(rows_b), 2048), np.float32)
+                left[at_a, ns[ia:ja] - k] = 1
+                right[at_b, nb[ib:jb] - k] = 1
+                shared[np.ix_(rows_a, rows_b)] += left @ right.T
+        both = shared.astype(np.float64)
+        out[i : i + height] &= both >= threshold * (a.size[i : i + height, None] + b.size - both) - 1e-9
+    return out
+
+
+def _sums(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """link @ right and left @ link, some rows at a time: numpy makes 64-bit numbers of the flags it multiplies."""
+    across, down = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for i in range(0, len(left), 512):
+        part = link[i : i + 512].astype(np.int64)
+        across[i : i + 512] = part @ right
+        down += left[i : i + 512] @ part
+    return across, down
 
 
 def _task(a: _Block, b: _Block, same: bool, least: dict[int, int], threshold: float) -> list[tuple[np.ndarray, ...]]:
@@ -160,10 +177,10 @@ def _task(a: _Block, b: _Block, same: bool, least: dict[int, int], threshold: fl
     link = links_between(a, b, same, least, threshold)
     if same:
         link |= link.T
-        ids, sums, adjacent = a.ids, link @ a.copies, link
+        ids, sums, adjacent = a.ids, _sums(link, a.copies, a.copies)[0], link
         label = ids.copy()
     else:
-        ids, sums = np.concatenate([a.ids, b.ids]), np.concatenate([link @ b.copies, a.copies @ link])
+        ids, sums = np.concatenate([a.ids, b.ids]), np.concatenate(_sums(link, a.copies, b.copies))
         label, adjacent = ids.copy(), None
     while True:
         before = label.copy()
@@ -205,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
     return c.saved(out)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id that links lead to, or its own) and n_links (documents similar to it)."""
     spark = docs.sparkSession
     least = least_agreeing(threshold, tolerance)
@@ -245,7 +262,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
     bytes_of = 8 * F.col("n_shingles").cast("bigint") + 2 * _N
     blocks_of = heads.select(F.col("doc_id").alias("id"), "copies", "minhash", "n_shingles").join(clusters, "id")
-    sizes = blocks_of.groupBy("cluster").agg(F.ceil(F.sum(bytes_of) / block_bytes).cast("int").alias("n"))
+    sizes = blocks_of.groupBy("cluster").agg(F.ceil(F.greatest(F.sum(bytes_of) / block_bytes, F.count("*") / block_rows)).cast("int").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     placed = c.saved(
         blocks_of.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -146,6 +147,49 @@ def test_jaccard_join(docs, empty, block_bytes):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def test_jaccard_join_in_blocks_of_few_rows(docs):
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs, block_rows=3).collect()}
+    assert got == similar_groups()
+
+
+def near_copies(rows: int, words: int, edits: int) -> jaccard_join._Block:
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(words)]
+    texts = []
+    for k in range(rows):
+        own = list(base)
+        for x in rng.choice(words, rng.integers(0, edits + 1), replace=False):
+            own[x] = f"e{k}"
+        texts.append(" ".join(own))
+    sets, at = jaccard_join.shingles(pa.chunked_array([pa.array(texts)]))
+    values = (jaccard_join.minhashes(sets, at) >> np.uint32(16)).astype(np.uint16)
+    parts = [sets[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+    return jaccard_join._Block(pa.table({"id": np.arange(rows), "copies": np.ones(rows, np.int64) + np.arange(rows) % 3, "minhash": pa.array([v.tobytes() for v in values], pa.binary()), "shingles": pa.array(parts, pa.binary())}))
+
+
+@pytest.mark.parametrize("stripe", [1000, 2_000_000])
+def test_many_near_copies_are_verified_exactly(monkeypatch, stripe):
+    monkeypatch.setattr(jaccard_join, "STRIPE", stripe)
+    a, least = near_copies(300, 60, 2), jaccard_join.least_agreeing(0.8, 1e-6)
+    sets = [set(x.tolist()) for x in a.sets]
+    want = np.array([[len(x & y) >= 0.8 * len(x | y) - 1e-9 for y in sets] for x in sets])
+    upper = np.triu(want, 1)
+    assert upper.sum() > 20 * 600 and (jaccard_join.links_between(a, a, True, least, 0.8) == upper).all() and not want.all()
+    ids, links, _ = jaccard_join._task(a, a, True, least, 0.8)[0]
+    assert dict(zip(ids.tolist(), links.tolist())) == {k: int(n) for k, n in enumerate((want & ~np.eye(300, dtype=bool)) @ a.copies) if n}
+    _, links, _ = jaccard_join._task(a, a, False, least, 0.8)[0]
+    assert links.tolist() == [int(n) for n in want @ a.copies] * 2
+
+
+def test_memory_of_many_near_copies():
+    a, least = near_copies(3000, 60, 1), jaccard_join.least_agreeing(0.8, 1e-6)
+    tracemalloc.start()
+    jaccard_join._task(a, a, True, least, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # whole matrices of 64-bit numbers take 261 MB
+
+
 def test_bayesian_bounds():
     least = jaccard_join.least_agreeing(0.8, 1e-6)
     assert list(least) == list(range(20, 201, 20)) and sorted(least.values()) == list(least.values())
