@@ -3,13 +3,18 @@
 Three predictors give each bit of a text's UTF-8 bytes (and of one closing zero byte) a probability from counts of
 bits after hashed contexts of two, four and six bytes. Their logits are mixed with weights gated by the bit's place in
 its byte; weights start as the constants below and are refined online,
-within each document, after every STEP bytes. Bits are coded before they are learned from, so a score is the log10
+within each document, after every STEP bytes. Bits are coded before they are learned from.
+
+A word and the byte that ends it are one unit. Where a unit directly follows the byte that ended a word, its probability
+is a mixture: of count(word before, unit) / count(word before), from all training documents, and of what the bits say.
+The weight of the counts is the share of such units so far in the document whose pair had a count (from PRIOR), times
+D / (D + DOUBT) for D counts of the word before: it depends on what stands before alone. A score is so the log10
 probability of the whole text under one model, and score / log10(2) / bytes is minus its bits per byte.
 
-Counts come from all training documents: a table of bounded size for each context, of whose cells each batch sends
-those it saw, and the counts of all words, which grow with the corpus and are never broadcast: a batch sends its
-distinct words as a sorted set of 64-bit hashes to buckets and gets back their counts. Only the quantised context
-tables (TABLES, 50 MB whatever the input) are broadcast.
+Counts come from all training documents: a table of bounded size for each byte context, of whose cells each batch sends
+those it saw, and the counts of all words and of all pairs, which grow with the corpus and are never broadcast: a batch
+sends its distinct words and pairs as sorted sets of hashes (64 and PAIR_BITS bits) to buckets and gets back their
+counts. Only the quantised context tables (TABLES, 50 MB whatever the input) are broadcast.
 
 Null or empty texts have one token, the end. Repeated rows count as often as they stand. Without training documents
 all counts are zero (N = V = 0). Texts of any length are scored whole. Extra columns are not read.
@@ -34,6 +39,11 @@ PIECE = 1 << 20
 #: Bytes of text in a batch, and in what is counted or hashed at a time.
 BATCH_BYTES, SLICE = 4_000_000, 1_000_000
 QUANTUM = 16.0
+#: Units before the first, with and without a count; counts of a word before that halve the weight of its pairs.
+PRIOR, DOUBT = (2, 2), 4
+PAIR_BITS = 48
+#: The kind of messages with pairs; 0 are words, from 1 on tables.
+PAIRS = -1
 #: Zero bytes before each text.
 PAD = 6
 
@@ -94,10 +104,67 @@ def logits(cells: np.ndarray) -> np.ndarray:
     return out
 
 
+def units(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: where it starts and stops, whether its unit directly follows another, and the hash of that pair.
+
+    hashes, first: of folded words, as the word before is taken; the unit itself is taken with its case.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)
+    white = np.concatenate([c._WHITE[data], [True]])
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at] = True
+    before = np.concatenate([[True], white[:-1]])
+    starts = np.flatnonzero(~white & (before | cut))
+    stops = np.flatnonzero(~white[:-1] & (white[1:] | cut[1:])) + 1
+    upper = np.flatnonzero((data >= 65) & (data <= 90))
+    word = np.searchsorted(starts, upper, "right") - 1
+    own = hashes.copy()
+    np.add.at(own, word, c.mix((upper - starts[word] + 1).astype(np.uint64)))
+    end = np.where(cut[stops], 0, np.concatenate([data, [0]])[stops].astype(np.uint64))
+    follows = np.zeros(len(starts), bool)
+    follows[1:] = starts[1:] == stops[:-1] + 1
+    follows[first[:-1][np.diff(first) > 0]] = False
+    key = c.mix(own + (end + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    key[1:] = c.mix(key[1:] ^ hashes[:-1] * np.uint64(0xD6E8FEB86659FD93))
+    return starts, stops, follows, key >> np.uint64(64 - PAIR_BITS)
+
+
+def mixed_lengths(costs: np.ndarray, at: np.ndarray, starts: np.ndarray, stops: np.ndarray, follows: np.ndarray, first: np.ndarray, pair: np.ndarray, prev: np.ndarray) -> np.ndarray:
+    """Minus the natural logarithm of the probability of each text.
+
+    costs: of its bytes and its end, by the bits; pair, prev: for each word, the counts of its pair and of the word before.
+    """
+    out = np.add.reduceat(costs, at[:-1] + np.arange(len(at) - 1)) if len(at) > 1 else np.zeros(0)
+    on = np.flatnonzero(follows & (prev > 0))
+    if not len(on):
+        return out
+    text = np.searchsorted(first, on, "right") - 1
+    edges = np.stack([starts[on] + text, stops[on] + text + 1], 1).ravel()
+    bits = np.add.reduceat(np.append(costs, 0.0), edges)[::2]
+    new = np.searchsorted(text, text)  # the first such unit of the same text
+    hit = (pair[on] > 0).astype(np.int64)
+    hits = np.cumsum(hit) - hit
+    rate = (hits - hits[new] + PRIOR[0]) / (np.arange(len(on)) - new + sum(PRIOR))
+    weight = rate * prev[on] / (prev[on] + DOUBT)
+    with np.errstate(divide="ignore"):
+        mixed = -np.logaddexp(np.log(weight * pair[on] / prev[on]), np.log1p(-weight) - bits)
+    starts_of = c.runs(text)
+    out[text[starts_of]] += np.add.reduceat(mixed - bits, starts_of)
+    return out
+
+
 def code_lengths(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Minus the natural logarithm of the probability of each text."""
+    """Minus the natural logarithm of the probability of each text, by the bits alone."""
+    costs = byte_costs(data, at, tables)
+    return np.add.reduceat(costs, at[:-1] + np.arange(len(at) - 1)) if len(at) > 1 else np.zeros(0)
+
+
+def byte_costs(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """Minus the natural logarithm of the probability of each byte, and of the end after each text's."""
     size = np.diff(at) + 1
-    out = np.zeros(len(size))
+    out = np.zeros(len(data) + len(size))
+    begin = at[:-1] + np.arange(len(size))
     order = np.argsort(-size, kind="stable")
     i = 0
     while i < len(order):
@@ -124,7 +191,8 @@ def code_lengths(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) ->
             valid = (start + np.arange(STEP) < size[lanes[:m], None])[:, :, None]
             cost = np.log(1 + x)
             cost *= valid
-            out[lanes[:m]] += cost.sum((1, 2), dtype=np.float64)
+            inside = valid[:, :, 0]
+            out[(begin[lanes[:m], None] + np.arange(start, start + STEP))[inside]] = cost.sum(2, dtype=np.float64)[inside]
             x /= 1 + x
             x *= sign
             x *= valid
@@ -141,7 +209,7 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
     spark = docs.sparkSession
     rows, n, total = c.batched(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), batch_bytes)
     rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)) if held_out is None else held_out)
-    buckets = max(1, -(-total // 20 // c.BUCKET_ENTRIES))
+    buckets, pair_buckets = max(1, -(-total // 20 // c.BUCKET_ENTRIES)), max(1, -(-total // 8 // c.BUCKET_ENTRIES))
 
     def words(group: pa.Table):
         data, at = c.text_bytes(group["text"])
@@ -150,6 +218,12 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
         starts = c.runs(hashes[order])
         return data, at, hashes, first, order, starts
 
+    def pairs(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, first: np.ndarray):
+        begin, stop, follows, key = units(data, at, hashes, first)
+        which = np.flatnonzero(follows)
+        which = which[np.argsort(key[which], kind="stable")]
+        return begin, stop, follows, key, which, c.runs(key[which])
+
     def gather(group: pa.Table) -> pa.Table:
         batch = group["batch"][0].as_py()
         data, at, hashes, first, order, starts = words(group)
@@ -159,6 +233,11 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
         counts = np.add.reduceat(train.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
         bounds = c.bucket_bounds(entries, 64, buckets)
         out = [(0, b, entries[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])) if j > i]
+        *_, key, which, starts = pairs(data, at, hashes, first)
+        entries, train = key[which][starts], np.repeat(~held, np.diff(first))[which]
+        counts = np.add.reduceat(train.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+        bounds = c.bucket_bounds(entries, PAIR_BITS, pair_buckets)
+        out += [(PAIRS, b, entries[i:j], counts[i:j]) for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])) if j > i]
         kept = group.filter(pa.array(~held))
         for kind, (cells, seen) in enumerate(count_cells(*c.text_bytes(kept["text"])), 1):
             edges = np.searchsorted(cells, np.arange(0, (1 << (TABLES[kind - 1][1] + 8)) + PIECE, PIECE))
@@ -179,7 +258,7 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
     def merge(group: pa.Table) -> pa.Table:
         kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
         got = list(zip(group["batch"].to_pylist(), group["entries"].to_pylist(), group["counts"].to_pylist()))
-        if kind:
+        if kind > 0:
             width = min(PIECE, 1 << (TABLES[kind - 1][1] + 8))
             cells = np.zeros(width, np.int64)
             for _, entries, counts in got:
@@ -193,8 +272,8 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
         back = np.zeros(len(entries), np.uint64)
         back[order] = np.repeat(sums, np.diff(starts, append=len(entries)))
         ends = np.cumsum([len(s) for s in sets])
-        facts = [(int((sums > 0).sum()), int(sums.sum()))] + [(0, 0)] * len(got)
-        return answer([(0, bucket, b, c.pack_small(back[e - len(s) : e]), *f) for (b, _, _), s, e, f in zip(got, sets, ends, facts)])
+        facts = [(0, 0) if kind == PAIRS else (int((sums > 0).sum()), int(sums.sum()))] + [(0, 0)] * len(got)
+        return answer([(kind, bucket, b, c.pack_small(back[e - len(s) : e]), *f) for (b, _, _), s, e, f in zip(got, sets, ends, facts)])
 
     answers = c.saved(rows.groupBy("batch").applyInArrow(gather, _MESSAGE).groupBy("kind", "bucket").applyInArrow(merge, _ANSWER))
     distinct, running = answers.agg(F.sum("distinct"), F.sum("total")).first()
@@ -211,10 +290,18 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
         entries = hashes[order][starts]
         bounds = c.bucket_bounds(entries, 64, buckets)
         counts = np.zeros(len(entries), np.int64)
-        for row in told.select(["bucket", "counts"]).to_pylist():
-            counts[bounds[row["bucket"]] : bounds[row["bucket"] + 1]] = c.unpack_small(row["counts"])
+        begin, stop, follows, key, which, pair_starts = pairs(data, at, hashes, first)
+        pair_bounds = c.bucket_bounds(key[which][pair_starts], PAIR_BITS, pair_buckets)
+        pair_counts = np.zeros(len(pair_starts), np.int64)
+        for row in told.select(["kind", "bucket", "counts"]).to_pylist():
+            into, edge = (pair_counts, pair_bounds) if row["kind"] == PAIRS else (counts, bounds)
+            into[edge[row["bucket"]] : edge[row["bucket"] + 1]] = c.unpack_small(row["counts"])
+        by_pair = np.zeros(len(hashes), np.int64)
+        by_pair[which] = np.repeat(pair_counts, np.diff(pair_starts, append=len(which)))
         by_word = np.zeros(len(hashes), np.int64)
         by_word[order] = np.repeat(counts, np.diff(starts, append=len(hashes)))
+        prev = np.concatenate([[0], by_word[:-1]])[: len(by_word)]
+        lengths = mixed_lengths(byte_costs(data, at, shared.value), at, begin, stop, follows, first, by_pair, prev)
         logs = np.concatenate([[0.0], np.cumsum(np.log10(by_word + 0.5))])
         known = np.concatenate([[0], np.cumsum(by_word > 0)])
         n_tokens = np.diff(first) + 1
@@ -227,12 +314,12 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
                 "n_known": pa.array(known[first[1:]] - known[first[:-1]] + (ends > 0), pa.int64()),
                 "train_tokens": pa.array(np.full(len(base), n_all), pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(code_lengths(data, at, shared.value) / -np.log(10.0), pa.float64()),
+                "score": pa.array(lengths / -np.log(10.0), pa.float64()),
                 "n_bytes": pa.array(np.diff(at), pa.int64()),
             }
         )
 
-    return rows.groupBy("batch").cogroup(answers.filter("kind = 0").groupBy("batch")).applyInArrow(score, _RESULT)
+    return rows.groupBy("batch").cogroup(answers.filter("kind <= 0").groupBy("batch")).applyInArrow(score, _RESULT)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,42 @@ def test_lm_is_a_distribution():
     assert lm_scoring.code_lengths(*common.text_bytes(pa.array(["abracadabra " * 9])), tables)[0] < 60
 
 
+def test_lm_units_and_their_mixture():
+    """Counts of pairs of words, with case and ending, against a loop; and all that can follow sums to one at most."""
+    parts = ["a b A b", "", " a b", "a  b\tB", "É b\nb", "b", "a b"]
+    data, at = common.text_bytes(pa.array(parts))
+    hashes, first = common.word_hashes(data, at, lm_scoring._FOLD)
+    starts, stops, follows, key = lm_scoring.units(data, at, hashes, first)
+    raw, seen, told = data.tobytes(), {}, []
+    for t, (i, j) in enumerate(zip(at[:-1], at[1:])):
+        found = [(m.start() + i, m.end() + i) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw[i:j])]
+        for k, (x, y) in enumerate(found):
+            ok = k > 0 and found[k - 1][1] + 1 == x
+            told.append((x, y, ok))
+            if ok:
+                seen.setdefault((raw[slice(*found[k - 1])].lower(), raw[x:y], raw[y : y + 1] if y < j else b""), set()).add(int(key[len(told) - 1]))
+    assert told == list(zip(starts.tolist(), stops.tolist(), follows.tolist()))
+    assert all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == len(seen) > 5
+    # bits give 1/4 to each of four units, counts 3/4 and 1/4 to two of them
+    costs, one = np.array([0.0, 0.0, np.log(4), 0.0]), np.array([0, 2])
+    p = [np.exp(-lm_scoring.mixed_lengths(costs, np.array([0, 3]), one, one + 1, np.array([False, True]), one, np.array([0, n]), np.array([0, 4])))[0] for n in (3, 1, 0, 0)]
+    weight = 0.5 * 4 / 8
+    assert p == pytest.approx([weight * n / 4 + (1 - weight) / 4 for n in (3, 1, 0, 0)]) and sum(p) == pytest.approx(1)
+
+
+def test_lm_learns_from_pairs_beyond_its_tables(spark):
+    """Where six bytes don't tell which word stands before, a held-out text of pairs that were seen is still told from others."""
+    rng = random.Random(4)
+    names = ["".join(rng.choices("abcdefgh", k=5)) + "xxxxxxx" for _ in range(200)]
+    seen = [" ".join(names[(k + j) % 200] for j in range(12)) for k in range(200)]
+    other = [" ".join(rng.sample(names, 12)) for _ in range(40)]
+    rows = [(k, t, False) for k, t in enumerate(seen)] + [(1000 + k, t, True) for k, t in enumerate(seen[:40] + other)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, own boolean").repartition(3)
+    held = F.col("doc_id") >= 1000
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scoring(df, held, batch_bytes=4000).collect()}
+    assert min(got[1000 + k] for k in range(40)) > 0.6 * max(got[1040 + k] for k in range(40))
+
+
 def similar_groups():
     sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for k, w in WORDS.items()}
     links, root = Counter(), {k: k for k in sets}
