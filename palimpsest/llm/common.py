@@ -8,9 +8,10 @@ a third of all rows hold is one entry per batch, so no bucket gets a group that
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,15 @@ BUCKET_ENTRIES = 1_500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share. Where none is configured (tests), one of our own."""
+    """A new path in the folder that driver and executors share.
+
+    Where none is configured, one of our own if all runs in this process (tests); on a cluster that is an error, since
+    each executor would write to its own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
@@ -56,6 +63,57 @@ def count_words(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("bigint")
 
 
+# --- arrays and texts in expressions -----------------------------------------------------------------
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once a row, also where f uses it for each element of an array."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """For an array of numbers from 0 on, what join makes of those before each, and of all: one more than it has.
+
+    Arrays grow by copies in expressions, so the array is cut into blocks: the work is nearly in proportion to its size.
+    """
+    zero, none = F.lit(0).cast("bigint"), F.expr("cast(array() as array<bigint>)")
+    total = lambda cut: F.aggregate(cut, zero, lambda a, x: join(a, x).cast("bigint"))
+
+    def each(cut: Column, start: Column, value: Callable[[Column], Column]) -> Column:
+        """The values before each of cut's, then that after the last."""
+        add = lambda acc, x: F.struct(join(acc["at"], value(x)).cast("bigint").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(cut, F.struct(start.alias("at"), none.alias("out")), add, lambda acc: F.concat(acc["out"], F.array(acc["at"])))
+
+    def of(v: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        whole = lambda cs: let(each(cs, zero, total), lambda starts: F.flatten(F.transform(cs, lambda cut, k: F.slice(each(cut, F.get(starts, k), lambda x: x), 1, F.size(cut)))))
+        return let(cuts, lambda cs: F.concat(whole(cs), F.array(F.aggregate(cs, zero, lambda a, cut: join(a, total(cut)).cast("bigint")))))
+
+    return let(values, of)
+
+
+#: Code points in a piece of blocks().
+PIECE = 512
+
+
+def blocks(text: Column) -> Column:
+    """A text in pieces of PIECE code points. They are cut in two levels, as substring() goes through all that is before."""
+
+    def cut(t: Column, size: int) -> Column:
+        last = F.greatest(F.ceil(F.length(t) / size) - 1, F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(t, k * size + 1, F.lit(size)))
+
+    return F.flatten(F.transform(let(text, lambda t: cut(t, 128 * PIECE)), lambda t: cut(t, PIECE)))
+
+
+def between(pieces: Column, start: Column, stop: Column) -> Column:
+    """The code points from start to stop of a text that is given in blocks()."""
+    low = lambda k: F.greatest(start - k * PIECE, F.lit(0)).cast("int")
+    part = lambda k: F.substring(F.get(pieces, k), low(k) + 1, F.least(stop - k * PIECE, F.lit(PIECE)).cast("int") - low(k))
+    on = F.sequence(F.floor(start / PIECE).cast("int"), F.floor((stop - 1) / PIECE).cast("int"))
+    return F.when(stop > start, F.array_join(F.transform(on, part), "")).otherwise("")
+
+
 # --- words as arrays ------------------------------------------------------------------------------
 
 _WHITE = np.zeros(256, bool)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -22,7 +23,7 @@ from palimpsest.llm import chat_format, common, decontaminate, jaccard_join, lan
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Names that operators use inside, too.
-EXTRA = ["batch", "words", "hashes", "class_id", "kind", "spans", "row", "topic_", "cluster", "own", "task"]
+EXTRA = ["batch", "words", "hashes", "class_id", "kind", "spans", "row", "topic", "expected", "copies", "cluster", "own", "task", "key", "items", "ord", "place"]
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -331,6 +332,36 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_of_repeated_and_null_ids(spark):
+    bench = spark.createDataFrame([(1, "one two"), (2, "a b c")], "item_id bigint, text string")
+    rows = [(1, "one two"), (1, "x one two y"), (1, "x one two y"), (None, "one two"), (None, "none of it"), (None, None), (2, "A b c " * 3), (2, "q")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = [(1, 2, 2, True), (1, 4, 2, True), (1, 4, 2, True), (2, 1, 0, False), (2, 9, 9, True), (None, 0, 0, False), (None, 2, 2, True), (None, 3, 0, False)]
+    for most in (10**6, 0):
+        got = [tuple(r) for r in decontaminate.report(df, bench, most_broadcast=most).select("doc_id", "n_words", "n_hit", "contaminated").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(str(r["text"]) for r in decontaminate.decontaminated(df, bench).collect()) == ["None", "none of it", "q"]
+    spans = [str(r["text"]) for r in decontaminate.decontaminated(df, bench, "spans").collect()]
+    assert sorted(spans) == sorted([" ", "x   y", "x   y", " ", "none of it", "None", " " * 9, "q"])
+
+
+def timed(f):
+    start = time.perf_counter()
+    f()
+    return time.perf_counter() - start
+
+
+def test_decontamination_of_long_texts_is_linear(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "item_id bigint, text string")
+    long = lambda n: spark.createDataFrame([(1, " ".join(f"w{i % 5000}" for i in range(n)))], "doc_id bigint, text string")
+    run = lambda n: timed(lambda: decontaminate.report(long(n), bench).collect())
+    run(1000)
+    assert decontaminate.report(long(120_000), bench).first()["n_hit"] == 24 * 40
+    assert run(240_000) < 6 * run(60_000) + 5
+    gone = decontaminate.decontaminated(long(120_000), bench, "spans").first()["text"]
+    assert len(gone.split()) == 120_000 - 24 * 40 and "w39 " not in gone
+
+
 def test_case_of_words_beyond_ascii(spark):
     bench = spark.createDataFrame([(1, "É ÀB ß")], "item_id bigint, text string")
     rows = spark.createDataFrame([(1, "x É àb ß"), (2, "É Àb ß y"), (3, "é Àb ß")], "doc_id bigint, text string")
