@@ -1,19 +1,24 @@
 """PII (operator 1): bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are the spans of four fixed patterns (KINDS). The two words before a span are its contexts: the last word, and
-both. Candidates are other words with a digit. Spans and candidates make a graph of contexts and values; in each of
-ROUNDS, a context is scored for a kind by the share of its distinct values that are known to be of that kind, contexts
-with SUPPORT such values and a share of CONFIDENCE become patterns, and candidate values whose patterns have a mean
-share of CONFIDENCE become known in turn. A value known to be of another kind counts against a context in full; one of
-which nothing is known is what there is to discover, and counts UNKNOWN. Wherever a value that became known stands, its span is added, with its kind.
-Base spans always stay. Distinct values count, so copies of a document add no confidence.
+Seeds are the spans of the fixed patterns of PATTERNS, and of SECRET: keys in some well-known forms. Candidates are other
+words with a digit. The lexical patterns of a span are the last word before it, the last two, the first word after it, the
+first two, and the last before with the first after; punctuation that touches the span is no word. What stands more than
+two matches away is not looked at. Spans and candidates make a graph of patterns and values, which is scored in rounds until
+nothing new is found: a pattern is scored for a kind by the share of its distinct values that are known to be of that kind;
+patterns with SUPPORT such values and a share of CONFIDENCE are trusted, and candidate values that trusted patterns hold
+become known, of the kind of the one with the highest share. A value known to be of another kind counts against a pattern
+in full; one of which nothing is known is what there is to discover, and counts UNKNOWN. Wherever a value that became
+known stands, its span is added, with its kind. Base spans always stay. Distinct values count, so copies of a document add
+no confidence.
 
 Offsets are in code points: a pattern's matches and the pieces between them alternate, so their lengths are summed.
-Patterns are possessive, or anchored where a run starts, so that none goes back over a long text. The texts are read
-once, nothing of them but spans and contexts is shuffled, and a frequent context or value is summed before it is.
+Patterns are possessive, or anchored where a run starts, so that none goes back over a long text, and arrays are never
+grown one by one: the work is nearly in proportion to a text's length and matches. The texts are read once, nothing of them
+but spans and patterns is shuffled, and a frequent pattern or value is summed before it is; where values that became known
+are looked up, each is dealt out SALT times.
 
-Null or empty texts have no span. Rows that repeat a doc_id each give a row. Extra columns are not read by find(); by
-redacted() they are kept.
+Null or empty texts have no span. Each row has its own spans, also where rows repeat a doc_id or have none. Extra columns
+are not read by find(); by redacted() they are kept.
 """
 
 from __future__ import annotations
@@ -31,29 +36,56 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-KINDS = tuple(PATTERNS)
+#: Forms of keys that services give out, and hexadecimal digests of 128, 160 and 256 bits in small letters.
+SECRET = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}))(?![0-9A-Za-z])"
+KINDS = (*PATTERNS, "secret")
 #: Words with a digit.
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-ROUNDS, SUPPORT, CONFIDENCE = 2, 5, 0.9
-#: What a value of no known kind counts in a context, where one of another kind counts 1.
+SUPPORT, CONFIDENCE = 5, 0.9
+#: What a value of no known kind counts in a pattern, where one of another kind counts 1.
 UNKNOWN = 0.1
-CONTEXT_CHARS = 80
+SALT = 16
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_SPANS = "cast(array() as array<struct<start:bigint,stop:bigint,value:string,patterns:array<string>>>)"
+_MARK = r"[^\s\p{L}\p{N}]"
 
 
-def _spans(pattern: str) -> Column:
-    """The matches of a pattern in column text: start, stop, value and before (some characters that end at start)."""
-    found, between = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int,value:string,before:string>>)").alias("out"))
+def _lexical(left: Column, right: Column) -> Column:
+    """The lexical patterns of a span, from what stands before and after it."""
+    tail = F.regexp_extract(left, r"(?<!\S)(?:\S++\s++){0,2}\S*+\z", 0)
+    tail = F.regexp_replace(tail, rf"(?<!{_MARK}){_MARK}++\z", "")
+    head = F.regexp_replace(F.regexp_extract(right, r"\A\S*+(?:\s++\S++){0,2}", 0), rf"\A{_MARK}++", "")
+    words = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["between"])
-        stop = begin + F.length(x["found"])
-        span = F.struct(begin.alias("start"), stop.alias("stop"), x["found"].alias("value"), F.substring(F.col("text"), F.greatest(begin - CONTEXT_CHARS, F.lit(0)) + 1, F.least(begin, F.lit(CONTEXT_CHARS))).alias("before"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def of(w: Column) -> Column:
+        before, after = w["before"], w["after"]
+        last, first = F.get(before, F.size(before) - 1), F.get(after, F.lit(0))
+        found = [
+            F.concat(F.lit("<"), last), F.concat(F.lit("<<"), F.get(before, F.size(before) - 2), F.lit(" "), last),
+            F.concat(F.lit(">"), first), F.concat(F.lit(">>"), first, F.lit(" "), F.get(after, F.lit(1))), F.concat(F.lit("<>"), last, F.lit(" "), first),
+        ]
+        return F.filter(F.array(*found), lambda p: p.isNotNull())
 
-    pairs = F.transform(found, lambda v, i: F.struct(v.alias("found"), F.get(F.col("__between"), i).alias("between")))
-    return between, F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    return c.let(F.struct(words(tail).alias("before"), words(head).alias("after")), of)
+
+
+def _matches(pattern: str, needs: Column) -> Column:
+    """start, stop, value and lexical patterns of the matches of a pattern in column text, in order."""
+    zipped = F.arrays_zip(F.split("text", pattern).alias("b"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("f"))
+
+    def of(z: Column) -> Column:
+        part = lambda i, n: F.get(z, i)[n]
+
+        def span(p: Column, i: Column, at: Column) -> Column:
+            start = F.get(at, i) + F.length(p["b"])
+            left = F.concat_ws("", part(i - 2, "f"), part(i - 1, "b"), part(i - 1, "f"), p["b"])
+            right = F.concat_ws("", part(i + 1, "b"), part(i + 1, "f"), part(i + 2, "b"), part(i + 2, "f"))
+            return F.struct(start.alias("start"), (start + F.length(p["f"])).alias("stop"), p["f"].alias("value"), _lexical(left, right).alias("patterns"))
+
+        sizes = F.transform(z, lambda p: (F.length(p["b"]) + F.coalesce(F.length(p["f"]), F.lit(0))).cast("bigint"))
+        return c.let(c.running(sizes, lambda a, x: a + x), lambda at: F.filter(F.transform(z, lambda p, i: span(p, i, at)), lambda s: s["value"].isNotNull()))
+
+    return F.when(needs, c.let(zipped, of)).otherwise(F.expr(_SPANS))
 
 
 def _digits(value: Column) -> Column:
@@ -78,74 +110,90 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _free(found: Column, taken: Column) -> Column:
+    """Those spans of found, in order, that overlap none of taken: up to where a span stops, the latest stop of what starts before."""
+    mine = F.transform(found, lambda s, i: F.struct(s["stop"].alias("at"), F.lit(0).alias("side"), s["start"].alias("v"), i.alias("i")))
+    others = F.transform(taken, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("side"), s["stop"].alias("v"), F.lit(-1).alias("i")))
+
+    def of(events: Column) -> Column:
+        tops = c.running(F.transform(events, lambda e: e["side"] * e["v"]), lambda a, x: F.greatest(a, x))
+        good = lambda top: F.filter(F.transform(events, lambda e, j: F.when((e["side"] == 0) & (F.get(top, j) <= e["v"]), e["i"])), lambda i: i.isNotNull())
+        return c.let(tops, good)
+
+    kept = lambda fs: F.transform(c.let(F.sort_array(F.concat(mine, others)), of), lambda i: F.get(fs, i))
+    return F.when(F.size(taken) == 0, found).otherwise(c.let(found, kept))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, spans (kind number, start, stop, value, before; in the order of results) and candidates of each document."""
+    """doc_id, text_hash, base and secrets (kind number, start, stop, value, patterns; in the order of results) and candidates of each row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    for name, pattern in [*PATTERNS.items(), ("candidate", CANDIDATE)]:
-        between, found = _spans(pattern)
-        needs = F.instr("text", "@") > 0 if name == "email" else F.instr("text", "+") > 0 if name == "phone" else F.col("text").rlike("[0-9]")
-        found = F.when(needs, found).otherwise(F.expr("array()"))
-        rows = rows.withColumn("__between", F.when(needs, between)).withColumn(name, found).drop("__between")
+    needs = {"email": F.instr("text", "@") > 0, "phone": F.instr("text", "+") > 0}
+    digit = F.col("text").rlike("[0-9]")
+    every = {**PATTERNS, "secret": SECRET, "candidate": CANDIDATE}
+    rows = rows.select("doc_id", "text_hash", *[_matches(p, needs.get(name, digit)).alias(name) for name, p in every.items()])
+
     def own(k: int, name: str) -> Column:
         good = F.filter(name, lambda s: _valid(name, s["value"]))
-        return F.transform(good, lambda s: F.struct(F.lit(k).alias("kind"), *[s[x].alias(x) for x in ("start", "stop", "value", "before")]))
+        return F.transform(good, lambda s: F.struct(F.lit(k).alias("kind"), *[s[x].alias(x) for x in ("start", "stop", "value", "patterns")]))
 
-    kinds = [own(k, name) for k, name in enumerate(KINDS)]
-    rows = rows.select("doc_id", "text_hash", F.concat(*kinds).alias("spans"), "candidate")
+    rows = rows.select("doc_id", "text_hash", F.concat(*[own(k, name) for k, name in enumerate(PATTERNS)]).alias("base"), "secret", "candidate")
+    rows = rows.withColumn("secrets", own(len(PATTERNS), "secret")).withColumn("secrets", _free(F.col("secrets"), F.col("base")))
 
     def trimmed(s: Column) -> Column:
         front = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}]++", ""))
         value = F.regexp_replace(s["value"], r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
-        return F.struct((s["start"] + front).alias("start"), (s["start"] + front + F.length(value)).alias("stop"), value.alias("value"), s["before"].alias("before"))
+        return F.struct((s["start"] + front).alias("start"), (s["start"] + front + F.length(value)).alias("stop"), value.alias("value"), s["patterns"].alias("patterns"))
 
-    free = F.filter(F.transform("candidate", trimmed), lambda s: ~F.exists("spans", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return rows.select("doc_id", "text_hash", "spans", free.alias("candidates"))
+    free = _free(F.transform("candidate", trimmed), F.concat("base", "secrets"))
+    return rows.select("doc_id", "text_hash", "base", "secrets", free.alias("candidates"))
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """value, kind (null for candidates) and context, a row for each different one."""
-    every = F.concat(
-        F.transform("spans", lambda s: F.struct(s["value"].alias("value"), s["kind"].alias("kind"), s["before"].alias("before"))),
-        F.transform("candidates", lambda s: F.struct(s["value"].alias("value"), F.lit(None).cast("int").alias("kind"), s["before"].alias("before"))),
-    )
-    words = F.split(F.lower(F.trim(F.regexp_replace("before", r"[\s]+", " "))), " ")
-    rows = found.select(F.explode(every).alias("m")).select("m.value", "m.kind", "m.before").withColumn("words", words)
-    last, two = F.element_at("words", -1), F.array_join(F.slice("words", F.greatest(F.lit(1), F.size("words") - 1), 2), " ")
-    return rows.select("value", "kind", F.explode(F.array_distinct(F.array(last, two))).alias("context")).filter("context <> ''").distinct()
-
-
-def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """value and kind of candidates that patterns say to be identifiers."""
-    edges = c.saved(_edges(found))
-    # only contexts of several seeds can become patterns
-    seeds = edges.filter("kind is not null").select("value", "kind").distinct()
-    known, new = seeds, None
-    for _ in range(rounds):
-        of = edges.drop("kind").distinct().join(known, "value", "left")
-        shares = of.groupBy("context").agg(F.countDistinct("value").alias("all"), F.countDistinct(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("known"), *[F.countDistinct(F.when(F.col("kind") == k, F.col("value"))).alias(f"k{k}") for k in range(len(KINDS))])
-        best = F.greatest(*[F.struct(F.col(f"k{k}").alias("n"), F.lit(-k).alias("k")) for k in range(len(KINDS))])
-        weight = F.col("known") + UNKNOWN * (F.col("all") - F.col("known"))
-        scored = shares.select("context", best.alias("best"), weight.alias("weight")).select("context", (-F.col("best.k")).alias("kind"), (F.col("best.n") / F.col("weight")).alias("share"), ((F.col("best.n") >= support) & (F.col("best.n") >= confidence * F.col("weight"))).alias("pattern"))
-        fresh = edges.filter("kind is null").select("value", "context").join(scored.filter("pattern"), "context").select("value", "kind", "share")
-        fresh = fresh.groupBy("value").agg(F.avg("share").alias("share"), F.max(F.struct("share", "kind")).alias("best")).filter(F.col("share") >= confidence)
-        new = fresh.select("value", F.col("best.kind").alias("kind")).join(known.select("value").distinct(), "value", "left_anti")
-        new = c.saved(new)
+    """value, kind (null for candidates) and pattern, a row for each different one."""
+    side = lambda name, kind: F.transform(name, lambda s: F.struct(s["value"].alias("value"), kind(s).alias("kind"), s["patterns"].alias("patterns")))
+    every = F.concat(side("base", lambda s: s["kind"]), side("secrets", lambda s: s["kind"]), side("candidates", lambda s: F.lit(None).cast("int")))
+    rows = found.select(F.explode(every).alias("m"))
+    return rows.select("m.value", "m.kind", F.explode("m.patterns").alias("pattern")).distinct()
+
+
+def scored(pairs: DataFrame, known: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """pattern, kind, share and trusted of each pattern of a known value. pairs: value, pattern; known: value, kinds (a bit each)."""
+    has = lambda k: F.count_if(F.coalesce(F.col("kinds").bitwiseAND(F.lit(1 << k)) != 0, F.lit(False))).alias(f"k{k}")
+    shares = pairs.join(known, "value", "left").groupBy("pattern").agg(F.count("*").alias("all"), F.count("kinds").alias("known"), *[has(k) for k in range(len(KINDS))])
+    best = F.greatest(*[F.struct(F.col(f"k{k}").alias("n"), F.lit(-k).alias("k")) for k in range(len(KINDS))])
+    weight = F.col("known") + UNKNOWN * (F.col("all") - F.col("known"))
+    shares = shares.filter("known > 0").select("pattern", best.alias("best"), weight.alias("weight"))
+    return shares.select("pattern", (-F.col("best.k")).alias("kind"), (F.col("best.n") / F.col("weight")).alias("share"), ((F.col("best.n") >= support) & (F.col("best.n") >= confidence * F.col("weight"))).alias("trusted"))
+
+
+def discovered(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
+    """value and kind of candidates that trusted patterns say to be identifiers. edges: as saved; rounds: none for all there are."""
+    pairs = edges.select("value", "pattern").distinct()
+    known = c.saved(edges.filter("kind is not null").groupBy("value").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds")))
+    out = None
+    while rounds is None or rounds > 0:
+        trusted = scored(pairs, known, support, confidence).filter("trusted")
+        fresh = edges.filter("kind is null").select("value", "pattern").join(trusted, "pattern").groupBy("value").agg(F.max(F.struct("share", "kind")).alias("best"))
+        new = c.saved(fresh.select("value", F.col("best.kind").alias("kind")).join(known, "value", "left_anti"))
         if new.isEmpty():
             break
-        known = known.unionByName(new)
-    return known.join(seeds.select("value").distinct(), "value", "left_anti")
+        known = known.unionByName(new.select("value", F.expr("shiftleft(1, kind)").alias("kinds")))
+        out, rounds = new if out is None else out.unionByName(new), rounds and rounds - 1
+    return edges.sparkSession.createDataFrame([], "value string, kind int") if out is None else out
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """doc_id, text_hash, base (spans of the patterns) and added (those discovered): kind number, start, stop, value, in order."""
+def find(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
+    """doc_id, text_hash, base (spans of the fixed patterns) and added (secrets, and those discovered): kind number, start, stop, value, in order."""
     found = c.saved(mentions(docs).withColumn("row", F.monotonically_increasing_id()))
-    new = discovered(found, rounds, support, confidence)
+    new = discovered(c.saved(_edges(found)), support, confidence, rounds)
     span = lambda s, k: F.struct(k.alias("kind"), *[s[x].alias(x) for x in ("start", "stop", "value")])
-    rows = found.select("row", F.explode("candidates").alias("s")).join(new, F.col("s.value") == F.col("value"))
-    added = rows.groupBy("row").agg(F.sort_array(F.collect_list(span(F.col("s"), F.col("kind")))).alias("added"))
-    base = F.transform("spans", lambda s: span(s, s["kind"]))
-    out = found.join(added, "row", "left").select("doc_id", "text_hash", base.alias("base"), "added")
-    return out.withColumn("added", F.coalesce("added", F.filter("base", lambda s: F.lit(False))))
+    salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("salt")
+    rows = found.select("row", (F.col("row") % SALT).alias("salt"), F.explode("candidates").alias("s"))
+    rows = rows.withColumn("value", F.col("s.value")).join(new.select("value", "kind", salt), ["value", "salt"])
+    added = rows.groupBy("row").agg(F.collect_list(span(F.col("s"), F.col("kind"))).alias("added"))
+    own = lambda name: F.transform(name, lambda s: span(s, s["kind"]))
+    none = F.filter(own("base"), lambda s: F.lit(False))
+    return found.join(added, "row", "left").select("doc_id", "text_hash", own("base").alias("base"), F.sort_array(F.concat(own("secrets"), F.coalesce("added", none))).alias("added"))
 
 
 def listed(spans: Column) -> Column:
@@ -153,6 +201,21 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _redacted(text: Column, spans: Column) -> Column:
+    """A text with each span in turn replaced by its kind in capitals and brackets; spans that overlap become one, of the first one's kind."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
+
+    def of(ss: Column, tops: Column, pieces: Column) -> Column:
+        """tops: the latest stop before each span, and of all."""
+        heads = F.filter(F.transform(ss, lambda s, i: F.when(s["start"] >= F.get(tops, i), i)), lambda i: i.isNotNull())
+        part = lambda i: F.concat(c.between(pieces, F.get(tops, i), F.get(ss, i)["start"]), F.get(names, F.get(ss, i)["kind"]))
+        return F.concat(F.array_join(F.transform(heads, part), ""), c.between(pieces, F.element_at(tops, -1), F.length(text).cast("bigint")))
+
+    stops = lambda ss: c.running(F.transform(ss, lambda s: -s["back"]), lambda a, x: F.greatest(a, x))
+    return c.let(order, lambda ss: c.let(stops(ss), lambda tops: c.let(c.blocks(text), lambda pieces: of(ss, tops, pieces))))
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of a text replaced by its kind in capitals and brackets; spans that overlap become one.
 
@@ -162,16 +225,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     spans = spans.filter(F.size("__spans") > 0).groupBy("__id", "__hash").agg(F.first("__spans").alias("__spans"))
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.join(spans, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left")
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    order = F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        stop = -s["back"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.when(s["start"] >= acc["at"], F.struct(stop.alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], stop).alias("at"), acc["out"].alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    text = _redacted(F.col("text").cast("string"), F.col("__spans"))
     return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
@@ -181,9 +235,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(k: int, name: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
 
-    counts = [count(k, name) for k, name in enumerate(KINDS)]
+    counts = [count(k, name) for k, name in enumerate(PATTERNS)]
     every = F.sort_array(F.concat("base", "added"))
-    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+    n = [F.size("added").cast("bigint").alias("n_added"), F.size(every).cast("bigint").alias("n_spans")]
+    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"), *n)
 
 
 QUERIES = {"op1_pii": op1_pii}

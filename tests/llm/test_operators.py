@@ -445,6 +445,85 @@ def test_pii_bootstrapping_with_its_defaults(spark, seeds, unseen):
     assert {r["text"] for r in pii.redacted(df).filter(F.col("doc_id").isin(list(want))).collect()} == {"hello, write to [EMAIL] soon"}
 
 
+def bootstrapped(rows, support=5, confidence=0.9):
+    """Added (kind, start, value) of each text, slowly: lists and loops over patterns made of the words around each mention."""
+    every = {**BASE, "secret": pii.SECRET.replace("*+", "*")}
+    mentions = []  # row, kind or None, start, stop, value, patterns
+    for r, t in enumerate(rows):
+        spans = [(k, m.start(), m.end()) for k, (n, p) in enumerate(every.items()) for m in re.finditer(p, t) if valid(n, m.group())]
+        spans = [s for s in spans if s[0] < 4 or not any(b[0] < 4 and b[1] < s[2] and s[1] < b[2] for b in spans)]
+        for m in re.finditer(r"(?<!\S)[^\s0-9]*[0-9]\S*", t):
+            i, j = m.span()
+            while not t[i].isalnum():
+                i += 1
+            while not t[j - 1].isalnum():
+                j -= 1
+            if not any(b[1] < j and i < b[2] for b in spans):
+                spans.append((None, i, j))
+        for k, i, j in spans:
+            left = re.sub(r"[^\s\w]+$|_+$", "", t[:i]).lower().split()
+            right = re.sub(r"^[^\s\w]+", "", t[j:]).lower().split()
+            every_p = [("<", *left[-1:]), ("<<", *left[-2:]), (">", *right[:1]), (">>", *right[:2]), ("<>", *left[-1:], *right[:1])]
+            p = [x for x in every_p if len(x) == 1 + (x[0] in ("<<", ">>", "<>")) + 1]
+            mentions.append((r, k, i, j, t[i:j], p))
+    known, out = {}, {}
+    for m in mentions:
+        if m[1] is not None:
+            known.setdefault(m[4], set()).add(m[1])
+    seeds = set(known)
+    while True:
+        values = {}
+        for m in mentions:
+            for p in m[5]:
+                values.setdefault(p, set()).add(m[4])
+        trusted = {}
+        for p, vs in values.items():
+            n, k = max((sum(j in known.get(v, ()) for v in vs), -j) for j in range(5))
+            weight = sum(v in known for v in vs) + 0.1 * sum(v not in known for v in vs)
+            if n >= support and n >= confidence * weight:
+                trusted[p] = (n / weight, -k)
+        new = {}
+        for m in mentions:
+            if m[4] not in known:
+                for p in m[5]:
+                    if p in trusted:
+                        new[m[4]] = max(new.get(m[4], (0, 0)), trusted[p])
+        if not new:
+            break
+        known |= {v: {k} for v, (_, k) in new.items()}
+    for m in mentions:
+        if m[1] == 4 or (m[1] is None and m[4] in known and m[4] not in seeds):
+            out.setdefault(m[0], []).append((4 if m[1] == 4 else min(known[m[4]]), m[2], m[4]))
+    return {r: sorted(v) for r, v in out.items()}
+
+
+def test_pii_against_brute_force(spark):
+    rng = random.Random(11)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(9)]
+    rows = [f'set token = "{h}" then go on' for h in hexes] + [f'set TOKEN = "{h.upper()}!" then x{k}' for k, h in enumerate(hexes[:3])]
+    rows += [f"mail me at u{k}@a.example today please" for k in range(8)] + [f"mail me at id{k}4 today please" for k in range(3)]
+    # a chain: values that the second round knows are the seeds of a pattern that only the third trusts
+    rows += [f"reach id{k % 3}4 via desk{k}7 of it" for k in range(4)] + [f"mail me at q{k}9 today" for k in range(6)] + [f"from q{k}9 onwards yes" for k in range(6)]
+    rows += ["from zz5 onwards yes", "from zz6 onwards yes", "by zz5 alone", "1.2.3.4, 5.6.7.8; +1 (017) 555-7713 a1 b2 c3", ""]
+    rows += [" ".join(rng.choices(["at", "token", "=", "7x", "u1@a.example", "10.0.0.1", "(8)", "id04", "x", "\n"], k=30)) for _ in range(30)]
+    got = {}
+    for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).filter("size(added) > 0").collect():
+        got[r["doc_id"]] = [(s["kind"], s["start"], s["value"]) for s in r["added"]]
+    want = bootstrapped(rows)
+    assert got == want and {v for x in want.values() for _, _, v in x} >= {hexes[0].upper(), "id04", "q09", "zz5"}
+
+
+def test_pii_of_many_matches_is_linear(spark):
+    long = lambda n: spark.createDataFrame([(1, " ".join(f"u{k}@mail.example id {k}" for k in range(n)))], "doc_id bigint, text string")
+    found = pii.find(long(20_000)).first()
+    assert len(found["base"]) == 20_000 and found["added"] == []
+    assert [s["start"] for s in found["base"][:3]] == [0, 21, 42]
+    run = lambda n: timed(lambda: pii.redacted(long(n)).collect())
+    run(100)
+    assert pii.redacted(long(20_000)).first()["text"] == " ".join(f"[EMAIL] id {k}" for k in range(20_000))
+    assert run(40_000) < 6 * run(10_000) + 5
+
+
 def test_mixing(spark, docs, empty):
     cells = spark.createDataFrame([(s, g, t, w) for s, g, t, w in (("a", "en", "p", 600), ("a", "de", "p", 100), ("b", "en", "q", 50), ("b", "de", "p", 250), ("c", "en", "p", 0))], "source string, lang string, topic string, words bigint")
     targets = {"source": {"a": 0.5, "b": 0.5, "none": 9}, "lang": {"en": 0.4, "de": 0.6}, "topic": {"p": 0.8, "q": 0.2}}
