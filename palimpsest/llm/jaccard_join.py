@@ -1,9 +1,10 @@
 """N-gram Jaccard join (operator 3): near duplicates by shingles of five words, Jaccard 0.8 or more.
 
-1. Equal texts are one class; its smallest doc_id stands for it.
+1. Equal texts, by the 128 bits of their MD5, are one class; the number of one of its rows stands for it.
 2. Each class gets MinHash values in BANDS bands. Classes that share a band with another go, through the smallest
    class of that band, into one candidate cluster (connected components by contraction, written between rounds).
-3. Clusters are cut into blocks of bounded bytes and rows, and each pair of blocks is one task. Its pairs are compared MinHash
+3. Clusters are cut into blocks of bounded bytes and rows (up to MOST_PARTS smaller ones, so that a cluster of some
+   thousands is many tasks), and each pair of blocks is one task. Its pairs are compared MinHash
    value by value in steps; after each step a pair is dropped when the posterior probability that its similarity
    reaches the threshold, given the values that agree so far and a uniform prior, is below TOLERANCE.
 4. Pairs that stay are verified exactly on their sets of 64-bit shingle hashes. A task returns a number of links for
@@ -15,7 +16,8 @@ candidates or partners.
 
 Words are runs without ASCII white space, unchanged. A text of one to four words is a single shingle. Null or empty
 texts, and those of white space alone, have no shingle and link to nothing, equal texts included. Rows that repeat a
-doc_id count as separate copies. Extra columns are not read.
+doc_id, or have none, count as separate copies, each with the links of its own text; a class of null ids alone has a null
+class_id. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ STEP, TOLERANCE = 20, 1e-6
 BLOCK_BYTES = 8_000_000
 #: Texts in a block: a flag is held for each pair of two blocks, and STRIPE pairs at a time are counted and compared.
 BLOCK_ROWS, STRIPE = 10_000, 2_000_000
-_SIGNED = "doc_id bigint, same binary, n_shingles int, minhash binary, bands array<bigint>"
+#: A cluster of more than PART_ROWS texts has at least so many blocks as parts of that size, or MOST_PARTS.
+PART_ROWS, MOST_PARTS = 384, 8
+_SIGNED = "row bigint, doc_id bigint, same binary, n_shingles int, minhash binary, bands array<bigint>, text string"
 _LINKED = "id bigint, links bigint, root bigint"
 
 _N = BANDS * ROWS
@@ -222,12 +226,16 @@ def components(edges: DataFrame) -> DataFrame:
     return c.saved(out)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id that links lead to, or its own) and n_links (documents similar to it)."""
-    spark = docs.sparkSession
+    return linked(docs, threshold, tolerance, block_bytes, block_rows, part_rows).select("doc_id", "class_id", "n_links")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """jaccard_join() with same, the MD5 of the text, and head, a number that all rows of a group have in common; null for rows that link to nothing."""
     least = least_agreeing(threshold, tolerance)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    same = F.unhex(F.md5(F.col("text").cast("binary")))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text")
 
     def sign(batches):
         for batch in batches:
@@ -244,25 +252,29 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                 keep = [k if n else None for k, n in zip(keys.tolist(), size)]
                 yield pa.record_batch(
                     {
+                        "row": part.column("row"),
                         "doc_id": part.column("doc_id"),
                         "same": part.column("same"),
                         "n_shingles": pa.array(size, pa.int32()),
                         "minhash": pa.array([v.tobytes() for v in (values >> np.uint32(16)).astype(np.uint16)], pa.binary()),
                         "bands": pa.array(keep, pa.list_(pa.int64())),
+                        "text": part.column("text"),
                     }
                 )
 
-    signed = c.saved(rows.withColumn("same", same).mapInArrow(sign, _SIGNED))
-    classes = c.saved(signed.filter("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    heads = signed.join(classes.select(F.col("id").alias("doc_id"), F.col("same").alias("own"), "copies"), "doc_id").filter("same = own").dropDuplicates(["doc_id"])
-    members = c.saved(heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")))
+    # the table fixes the numbers of rows
+    signed = c.saved(rows.mapInArrow(sign, _SIGNED))
+    classes = c.saved(signed.filter("n_shingles > 0").groupBy("same").agg(F.min("row").alias("id"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    heads = signed.join(classes.select(F.col("id").alias("row"), "copies"), "row").withColumnRenamed("row", "id")
+    members = c.saved(heads.select("id", F.explode("bands").alias("band")))
     hubs = members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = members.join(hubs, "band").filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     clusters = components(c.saved(stars)).withColumnRenamed("root", "cluster")
 
     bytes_of = 8 * F.col("n_shingles").cast("bigint") + 2 * _N
-    blocks_of = heads.select(F.col("doc_id").alias("id"), "copies", "minhash", "n_shingles").join(clusters, "id")
-    sizes = blocks_of.groupBy("cluster").agg(F.ceil(F.greatest(F.sum(bytes_of) / block_bytes, F.count("*") / block_rows)).cast("int").alias("n"))
+    blocks_of = heads.select("id", "copies", "minhash", "n_shingles").join(clusters, "id")
+    parts = F.greatest(F.sum(bytes_of) / block_bytes, F.count("*") / block_rows, F.least(F.count("*") / part_rows, F.lit(MOST_PARTS)))
+    sizes = blocks_of.groupBy("cluster").agg(F.ceil(parts).cast("int").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     placed = c.saved(
         blocks_of.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -275,10 +287,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     def shingle(batches):
         for batch in batches:
             sets, bounds = shingles(batch.column("text"))
-            yield pa.record_batch({"id": batch.column("doc_id"), "shingles": pa.array([sets[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())})
+            yield pa.record_batch({"id": batch.column("row"), "shingles": pa.array([sets[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
-    wanted = clusters.select(F.col("id").alias("doc_id"))
-    sets = rows.join(wanted, "doc_id", "left_semi")
+    sets = signed.select("row", "text").join(clusters.select(F.col("id").alias("row")), "row", "left_semi")
     sets = sets.mapInArrow(shingle, "id bigint, shingles binary")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -299,17 +310,36 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
         columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
         return pa.table({n: pa.array(x.astype(np.int64), pa.int64()) for n, x in zip(("id", "links", "root"), columns)})
 
-    linked = c.saved(placed.withColumn("task", task).join(sets, "id").groupBy("task").applyInArrow(compare, _LINKED))
-    links = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(linked.filter("id <> root").select(F.col("root").alias("u"), F.col("id").alias("v")).distinct())
-    facts = classes.join(links, "id", "left").join(roots, "id", "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
+    found = c.saved(placed.withColumn("task", task).join(sets, "id").groupBy("task").applyInArrow(compare, _LINKED))
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    roots = components(found.filter("id <> root").select(F.col("root").alias("u"), F.col("id").alias("v")).distinct())
+    facts = classes.join(links, "id", "left").join(roots, "id", "left").select("same", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "id").alias("head"))
+    facts = c.saved(facts)
+    # the smallest doc_id of a group of several classes
+    least_of = facts.groupBy("head").agg(F.min("first").alias("class_id"))
+    facts = facts.join(least_of, "head").select("same", "links", "head", "class_id")
     return (
         signed.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("same")).alias("same"))
         .join(facts, "same", "left")
-        .select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+        .select("doc_id", F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), "same", "head")
     )
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates, of equal texts too; rows that link to nothing all stay.
+
+    The row that stays has the smallest doc_id of its group (nulls last) and, of equal ones, the text whose MD5 is smallest;
+    of rows that are equal in both, one stays.
+    """
+    same = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    groups = linked(docs).filter("n_links > 0")
+    groups = c.saved(groups.groupBy("same", "head").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "same")).alias("best")))
+    best = groups.groupBy("head").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.same").alias("__same"))
+    alone = docs.join(groups.select(F.col("same").alias("__same")), same == F.col("__same"), "left_anti")
+    chosen = docs.join(best, (same == F.col("__same")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")))
+    return alone.unionByName(chosen.dropDuplicates(["__id", "__same"]).select(*docs.columns))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -189,6 +189,45 @@ def test_jaccard_join_in_blocks_of_few_rows(docs):
     assert got == similar_groups()
 
 
+def brute_groups(rows):
+    """(doc_id, class_id, n_links) of each row, and the rows that stay, by loops."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(WORD, t or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    close = lambda a, b: bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    n = range(len(rows))
+    near = {a: {b for b in n if a != b and close(a, b)} for a in n}
+    out, stay, done = [], [], set()
+    for a in n:
+        group, todo = {a}, [a]
+        while todo:
+            for b in near[todo.pop()] - group:
+                group.add(b)
+                todo.append(b)
+        ids = [rows[b][0] for b in group if rows[b][0] is not None]
+        out.append((rows[a][0], min(ids, default=None) if near[a] else rows[a][0], len(near[a])))
+        if not near[a]:
+            stay.append(rows[a])
+        elif not group & done:
+            done |= group
+            stay.append(min((rows[b] for b in group), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())))
+    return sorted(out, key=str), sorted(stay, key=str)
+
+
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    a, b, d, e = (" ".join(rng.choices("abcdefghijklmnop", k=60)) for _ in range(4))
+    rows = [(5, a), (5, b), (6, f"{a} x"), (7, f"{b} y"), (5, a), (5, a), (None, d), (None, f"{d} z"), (None, d), (None, e), (3, f"{e} q"), (None, None), (None, None), (9, ""), (1, b), (1, b), (2, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({n: F.lit(n) for n in EXTRA}).repartition(3)
+    want, stay = brute_groups(rows)
+    for part_rows in (2, 384):
+        got = [tuple(r) for r in jaccard_join.jaccard_join(df, part_rows=part_rows).collect()]
+        assert sorted(got, key=str) == want
+    kept = jaccard_join.representatives(df)
+    assert kept.columns == df.columns and sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == stay
+
+
 def near_copies(rows: int, words: int, edits: int) -> jaccard_join._Block:
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(words)]
