@@ -1,7 +1,7 @@
 """A training corpus from `documents`, in stages that are each written and read again.
 
 language        documents whose language can't be told go (null, without a letter, or below LEAST_SCORE)
-near_duplicates of each group of near duplicates, the smallest doc_id stays
+near_duplicates of each group of near duplicates, one row stays, of the smallest doc_id
 decontaminate   contaminated documents go
 pii             personal data in texts is replaced by its kind
 mix             documents are drawn to the target weights; topic, expected and copies are added
@@ -25,8 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_join.jaccard_join(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(classes, F.col("doc_id") == F.col("__id"), "left_anti")
+    return jaccard_join.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
