@@ -7,12 +7,15 @@ payload is cut natively where it is read, and from there on only pieces move: wr
 running state of SHA-1 and gzip, whatever the record's size. Each row carries the digest of the payload up to and with
 its piece, so a reader finds the first damaged piece.
 
-Payloads of at least min_bytes that are equal by digest have one response, that of the smallest page_id; the others are
-revisits without a payload that name it. Smaller ones are all responses. The smallest id of a digest is found by a
-grouping with sums before the shuffle; html is shuffled once, by page_id, never by digest.
-
-Null html is an empty payload; null urls are empty. Rows that repeat a page_id give a record each: record_id has a
-number for equal ids' different payloads and copies (page_id, digest, place among them). Extra columns are not read.
+Payloads of at least min_bytes that are equal by digest have one response, that of the smallest page_id (rows without one
+come last); the others are revisits without a payload that name it. Smaller ones are all responses. Pages are known by
+page_id, digest and url; these are summed before they are shuffled, so a payload that a third of all pages have is a row a
+task. Revisits are made from those facts alone. Pieces of payloads meet the facts by all three, never by digest alone, so
+no digest is one large group; pieces of one row come from one task, and stay together where a large group is split.
+
+Null html is an empty payload; null urls are empty. Each row gives a record, also where rows repeat a page_id or have none:
+record_id, and the record's URN, are made of page_id, digest, url and a number among equal rows. Extra columns are not
+read. An empty table gives no record.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common as c
@@ -36,8 +38,8 @@ TABLE = "record_id string, chunk_no bigint, chunks bigint, data binary, running_
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _urn(record_id: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{record_id}')}>"
 
 
 def _bare(url: str) -> str:
@@ -47,10 +49,11 @@ def _bare(url: str) -> str:
 def _header(row: dict) -> bytes:
     digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
     http = _HTTP.format(row["size"]).encode()
-    fields = [("WARC-Type", row["type"]), ("WARC-Record-ID", _urn(row["page_id"])), ("WARC-Date", DATE), ("WARC-Target-URI", _bare(row["url"])), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Type", row["type"]), ("WARC-Record-ID", _urn(row["record_id"])), ("WARC-Date", DATE), ("WARC-Target-URI", _bare(row["url"])), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if row["type"] == "revisit":
-        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", _urn(row["refers_to"])), ("X-Refers-To-Page", row["refers_to"])]
-    fields += [("X-Page-ID", row["page_id"]), ("X-Payload-Length", row["size"]), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(http) + (row["size"] if row["type"] == "response" else 0))]
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", _urn(row["refers_to_record"]))]
+    fields += [(k, row[v]) for k, v in (("X-Refers-To-Page", "refers_to"), ("X-Page-ID", "page_id")) if row[v] is not None]
+    fields += [("X-Payload-Length", row["size"]), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(http) + (row["size"] if row["type"] == "response" else 0))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + http
 
 
@@ -108,8 +111,8 @@ class _Record:
         digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
         if f["WARC-Type"] == "response" and (self.seen != int(f["X-Payload-Length"]) or base64.b32encode(self.digest.digest()).decode() != digest):
             raise ValueError(f"record {self.id}: payload and digest differ")
-        to = f.get("X-Refers-To-Page")
-        return int(f["X-Page-ID"]), int(f["X-Payload-Length"]), digest, f["WARC-Type"], None if to is None else int(to), f["WARC-Target-URI"]
+        own, to = (None if k not in f else int(f[k]) for k in ("X-Page-ID", "X-Refers-To-Page"))
+        return own, int(f["X-Payload-Length"]), digest, f["WARC-Type"], to, f["WARC-Target-URI"]
 
 
 def read_pieces(batches):
@@ -131,28 +134,31 @@ def read_pieces(batches):
 
 def records(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
     """The chunked record table of pages (page_id, url, html)."""
-    size = F.octet_length("payload").cast("bigint")
+    key = ["page_id", "sha1", "url"]
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    facts = rows.select("page_id", F.sha1("payload").alias("sha1"), size.alias("size"))
-    own = facts.groupBy("page_id", "sha1", "size").count()
-    firsts = own.filter(F.col("size") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    kinds = own.join(firsts, "sha1", "left").select("page_id", "sha1", "size", "first", "count")
-    joined = rows.withColumn("sha1", F.sha1("payload")).join(kinds, ["page_id", "sha1"])
-    # copies of a row that repeats a page_id: the first of them is the response, if its digest's first page is its own
-    place = F.row_number().over(W.partitionBy("page_id", "sha1").orderBy("url"))
-    joined = joined.withColumn("place", F.when(F.col("count") > 1, place).otherwise(1))
-    revisit = F.col("first").isNotNull() & ((F.col("first") != F.col("page_id")) | (F.col("place") > 1))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / chunk)).cast("bigint")
-    return (
-        joined.withColumn("type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("pieces", F.when(F.col("type") == "response", pieces).otherwise(1))
-        .withColumn("refers_to", F.when(revisit, F.col("first")))
-        .withColumn("record_id", F.concat_ws("-", "page_id", "sha1", "place"))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .withColumn("data", F.when(F.col("type") == "response", F.substring("payload", (F.col("piece") * chunk + 1).cast("int"), F.lit(chunk))))
-        .select("record_id", "page_id", "url", "sha1", "size", "type", "refers_to", "piece", "pieces", "data")
-        .mapInArrow(write_records, TABLE)
-    )
+    rows = rows.withColumn("sha1", F.sha1("payload"))
+    record = lambda page, url, place: F.concat_ws("-", F.coalesce(page.cast("string"), F.lit("none")), "sha1", F.lower(F.hex(F.xxhash64(url))), place.cast("string"))
+    own = rows.groupBy(*key, F.octet_length("payload").cast("bigint").alias("size")).agg(F.count("*").alias("n"))
+    # the order of pages with one digest: by page_id, none last, then by url
+    own = c.saved(own.withColumn("at", F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").alias("url"))))
+    firsts = own.filter(F.col("size") >= min_bytes).groupBy("sha1").agg(F.min("at").alias("first"))
+    known = own.join(firsts, "sha1", "left").withColumn("own", F.coalesce(F.col("at") == F.col("first"), F.lit(True)))
+    # how many of equal rows are responses: all, if too small to be revisited
+    known = known.withColumn("responses", F.when(F.col("first").isNull(), F.col("n")).when(F.col("own"), 1).otherwise(0))
+    places = F.sequence(F.col("responses") + 1, F.col("n"))
+    revisits = known.filter("n > responses").withColumn("place", F.explode(places)).withColumn("to", record(F.col("first")["page_id"], F.col("first")["url"], F.lit("1")))
+    revisits = revisits.select(record(F.col("page_id"), F.col("url"), F.col("place")).alias("record_id"), "page_id", "url", "sha1", "size", F.lit("revisit").alias("type"), F.col("first")["page_id"].alias("refers_to"), F.col("to").alias("refers_to_record"), F.lit(0).cast("bigint").alias("piece"), F.lit(1).cast("bigint").alias("pieces"), F.lit(None).cast("binary").alias("data"))
+    if (own.agg(F.max("n")).first()[0] or 0) > 1:  # of equal rows one is enough
+        rows = rows.dropDuplicates(key)
+    pieces = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk)).cast("bigint")
+    cut = F.transform(F.sequence(F.lit(0).cast("bigint"), pieces - 1), lambda k: F.struct(k.alias("piece"), pieces.alias("pieces"), F.substring("payload", (k * chunk + 1).cast("int"), F.lit(chunk)).alias("data")))
+    # what is exploded is a column of its own, so that no piece carries the whole
+    cut = rows.select(*key, cut.alias("cut")).select(*key, F.explode("cut").alias("p")).select(*key, "p.*")
+    wanted = known.filter("responses > 0").select(F.col("page_id").alias("__page"), F.col("sha1").alias("__sha1"), F.col("url").alias("__url"), "size", "responses")
+    on = [F.col("page_id").eqNullSafe(F.col("__page")), F.col("sha1") == F.col("__sha1"), F.col("url") == F.col("__url")]
+    responses = cut.join(wanted, on).withColumn("place", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("responses").cast("bigint"))))
+    responses = responses.select(record(F.col("page_id"), F.col("url"), F.col("place")).alias("record_id"), "page_id", "url", "sha1", "size", F.lit("response").alias("type"), F.lit(None).cast("bigint").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_record"), "piece", "pieces", "data")
+    return responses.sortWithinPartitions("record_id", "piece").mapInArrow(write_records, TABLE).unionByName(revisits.mapInArrow(write_records, TABLE))
 
 
 def read_records(table: DataFrame) -> DataFrame:

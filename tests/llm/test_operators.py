@@ -340,6 +340,24 @@ def test_warc_of_repeated_pages(spark):
     assert got == [(1, 3, "revisit", 1), (2, 3, "revisit", 1)]
 
 
+def test_warc_of_repeated_and_null_pages(spark):
+    pages = [(1, "u", "abc"), (1, "u", "abc"), (1, "t", "abc"), (1, "u", "d"), (2, "u", "abc"), (None, "u", "abc"), (None, "u", "abc"), (None, "v", "only"), (None, "w", "only"), (None, None, None), (3, "u", ""), (4, "u", "x" * 25), (4, "u", "x" * 25)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumns({n: F.lit(1) for n in EXTRA}).repartition(3)
+    for least in (0, 4):
+        table = common.saved(warc.records(df, min_bytes=least, chunk=10))
+        got = [(r["page_id"], r["payload_bytes"], r["url"], r["record_type"], r["refers_to"]) for r in warc.read_records(table).collect()]
+        want, first = [], {}
+        for p, u, h in sorted(pages, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+            h = h or ""
+            revisit = len(h) >= least and h in first
+            want.append((p, len(h), u or "", "revisit" if revisit else "response", first[h] if revisit else None))
+            first.setdefault(h, p)
+        assert sorted(got, key=str) == sorted(want, key=str)
+        heads = [zlib.decompressobj(31).decompress(r["data"]).decode() for r in table.filter("chunk_no = 0").collect()]
+        ids = [re.search("WARC-Record-ID: (.*)\r", x)[1] for x in heads]
+        assert len({*ids}) == len(pages) and {re.search("WARC-Refers-To: (.*)\r", x)[1] for x in heads if "Refers-To:" in x} < {*ids}
+
+
 def test_decontaminate(spark, docs, empty):
     alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(x.lower() if "A" <= x <= "Z" else x for x in t or ""))
     items = [(1, BY_ID[100][-300:]), (2, BY_ID[5].upper()), (3, "One two!"), (4, None), (5, "..."), (6, BY_ID[5].upper()), (7, " ".join(f"Word{i}" for i in range(11, 40)))]
