@@ -591,8 +591,44 @@ def test_mixing(spark, docs, empty):
         for v, x in want.items():
             assert share(d, v) == pytest.approx(x, abs=1e-3)
     got = mixing.mixed(docs, keep=0.7)
-    assert got.columns == [*docs.columns, "topic", "expected", "copies"] and all(r["copies"] >= 1 and abs(r["copies"] - r["expected"]) < 1 for r in got.collect())
-    assert mixing.mixed(empty).count() == 0
+    # docs has columns of the same names
+    assert got.columns == [*docs.columns, "topic_", "expected_", "copies_"] and all(r["copies_"] >= 1 and abs(r["copies_"] - r["expected_"]) < 1 and r["topic"] == "topic" for r in got.collect())
+    got = common.saved(got)
+    assert got.count() and mixing.mixed(empty).count() == 0
+
+
+def test_mixing_goes_on_until_it_fits(spark, caplog):
+    """Against a loop; targets that can't all be met end with a warning."""
+    rng = random.Random(7)
+    cells = [(s, g, t, rng.randrange(1, 10 ** rng.randrange(1, 6))) for s in "abcd" for g in "xyz" for t in "pq" if rng.random() < 0.7]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, words bigint")
+    share = {x[:3]: float(x[3]) for x in cells}
+    for _ in range(400):
+        for d in range(3):
+            want, total = Counter(), Counter()
+            for x in cells:
+                want[x[d]] += x[3]
+                total[x[d]] += share[x[:3]]
+            norm = sum(v**0.5 for v in want.values())
+            share = {k: v * want[k[d]] ** 0.5 / norm / total[k[d]] for k, v in share.items()}
+    words = sum(x[3] for x in cells)
+    got = {(r["source"], r["lang"], r["topic"]): r["ratio"] for r in mixing.fitted(df, sweeps=2, tolerance=1e-9).collect()}
+    for x in cells:
+        assert got[x[:3]] == pytest.approx(share[x[:3]] * words / x[3], rel=1e-5)
+    split = spark.createDataFrame([("a", "x", "p", 5), ("b", "y", "p", 5)], "source string, lang string, topic string, words bigint")
+    with caplog.at_level("WARNING"):
+        assert mixing.fitted(split, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}}, sweeps=2).count() == 2
+    assert "residual" in caplog.text
+
+
+def test_topics_and_draws(spark):
+    rows = [(1, "Licensed under the Apache License"), (2, "der Markt und das Unternehmen"), (3, "a | b | c | d"), (4, "x"), (5, None), (None, "the patient has a doctor"), (None, "y" * 500), (6, "superlicense lawlicens")]
+    df = spark.createDataFrame([(*r, "s", "l") for r in rows], "doc_id bigint, text string, source string, lang string")
+    got = mixing.mixed(df, keep=5.0, power=1.0)
+    assert {r["text"]: r["topic"] for r in got.collect()} == {rows[0][1]: "law", rows[1][1]: "business", rows[2][1]: "table", "x": "short", rows[5][1]: "health", rows[6][1]: "prose", rows[7][1]: "short", **({None: "short"} if got.filter("text is null").count() else {})}
+    assert {r["copies"] for r in got.collect()} == {5}
+    null = spark.createDataFrame([(None, f"w{k}", "s", "l") for k in range(400)], "doc_id bigint, text string, source string, lang string")
+    assert 140 < mixing.mixed(null, power=1.0).count() < 260  # ones without ids are drawn by their texts
 
 
 def test_chat_format(spark):
