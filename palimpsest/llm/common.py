@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Bytes of text in a batch, about; entries of a bucket, about.
 BATCH_BYTES = 8_000_000
 BUCKET_ENTRIES = 1_500_000
+#: Rows that are equal in doc_id and text, at most, in one batch.
+MOST_EQUAL = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,16 +47,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int, int]:
-    """doc_id, text (null: empty) and batch, a number under the second result; the third is the bytes of all texts.
+def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES, also: tuple[str, ...] = (), most_equal: int = MOST_EQUAL) -> tuple[DataFrame, int, int]:
+    """doc_id, text (null: empty), the columns of also, and batch, a number under the second result; the third is the bytes of all texts.
 
-    The batch of a document depends on its id alone, so a lost task makes the same batch again.
+    The batch of a row depends on its doc_id and text alone, so a lost task makes the same batch again, and rows that
+    repeat a doc_id, or have none, are dealt out. Where more than most_equal rows are equal in both, rows are written with
+    a number each and dealt out by that.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // batch_bytes))
-    return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n, total
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *also)
+    key = F.xxhash64("doc_id", F.xxhash64("text"))
+    equal = rows.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    most, total = equal.agg(F.max("n"), F.sum("size")).first()
+    if (most or 0) > most_equal:
+        rows, key = saved(rows.withColumn("__row", F.monotonically_increasing_id())), F.xxhash64("__row")
+    n = max(1, -(-(total or 0) // batch_bytes))
+    return rows.select("doc_id", "text", *also, F.pmod(key, F.lit(n)).cast("int").alias("batch")), n, total or 0
 
 
 def count_words(text: Column) -> Column:
@@ -196,6 +203,15 @@ def word_hashes(data: np.ndarray, at: np.ndarray, fold: np.ndarray | None = None
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(first)
 
 
+def second_hashes(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash, independent of window_hashes(), of the runs of so many words that start at some places."""
+    other, out = mix(words ^ np.uint64(0x9FB21C651E98DF25)), np.zeros(len(at), np.uint64)
+    for j in range(size):
+        out *= np.uint64(0xC2B2AE3D27D4EB4F)
+        out += other[at + j]
+    return mix(out)
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """The hash of each run of so many words, runs over the ends of texts included."""
     n = len(words) - size + 1
@@ -261,6 +277,9 @@ def table(**columns) -> pa.Table:
     return pa.table(columns)
 
 
-def runs(values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values starts."""
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+def runs(values: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
+    """Where each run of equal values (and equal others) starts."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    new = values[1:] != values[:-1]
+    return np.flatnonzero(np.concatenate([[True], new if also is None else new | (also[1:] != also[:-1])]))

@@ -3,15 +3,17 @@
 The index holds the hashes of each document's non-overlapping blocks of half a window. Every rolling run of
 that length probes it; a block that another run equals is an anchor. Each window of full length that holds an
 anchor is a candidate, since any window that occurs twice holds a whole block of its first occurrence. Extending
-an anchor to its maximal exact repeat is then the union of the candidate windows whose word sequence, by its
-64-bit hash, starts earlier elsewhere; that hash is compared for candidates alone, never pair by pair.
+an anchor to its maximal exact repeat is then the union of the candidate windows whose word sequence starts earlier
+elsewhere. Sequences are compared by 128 bits, two independent hashes of their words, for candidates alone, never pair by
+pair. (Words are told apart by 64 bits; two texts are mistaken only if their windows differ in nothing but such words.)
 
 Scale: the texts are shuffled once, by batch. Index and probes travel as sorted sets of hashes, about three bytes
-an entry, candidates at ten; answers are one bit an entry. A passage that a third of all documents hold is one
+an entry, candidates at eighteen; answers are one bit an entry. A passage that a third of all documents hold is one
 entry a batch. Hashes of blocks have 16 bits more than their number needs, and false anchors only make candidates.
 
-Null or empty texts have no words and nothing to remove. Rows that repeat a doc_id are one document after another,
-in the order of their texts, and each gives a row. Texts of any length are whole. Extra columns are not read.
+Null or empty texts have no words and nothing to remove. Where a doc_id repeats or is null, rows are first sorted, by
+ranges, to documents one after another: by doc_id, null last, then by a hash of the text; each gives a row, and equal rows
+are dealt out like others. Texts of any length are whole. Extra columns are not read. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ class _Batch:
     """One batch: its words, anchors and candidates, made anew in each pass."""
 
     def __init__(self, rows: pa.Table, window: int, bits: int):
-        self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.rows = rows.sort_by([("ord", "ascending")])
         self.window, self.block = window, window // 2
         words, self.first = c.word_hashes(*c.text_bytes(self.rows["text"]))
         self.words = words
@@ -71,14 +73,15 @@ class _Batch:
         gap = self.window - self.block
         low = c.window_hashes(self.words, self.block)
         large = c.mix(low[at] * np.uint64(0xD6E8FEB86659FD93) + low[at + gap]) if len(at) else np.zeros(0, np.uint64)
-        order = np.argsort(large, kind="stable")
-        self.cand, found = at[order], large[order]
-        self.cand_starts = c.runs(found)
-        self.cand_entries = found[self.cand_starts]
+        other = c.second_hashes(self.words, at, self.window)
+        order = np.lexsort((other, large))
+        self.cand, found, other = at[order], large[order], other[order]
+        self.cand_starts = c.runs(found, other)
+        self.cand_entries, self.cand_others = found[self.cand_starts], other[self.cand_starts]
 
-    def doc_ids(self) -> np.ndarray:
+    def places(self) -> np.ndarray:
         """Of each entry, the document where it comes first here."""
-        ids = self.rows["doc_id"].to_numpy()
+        ids = self.rows["ord"].to_numpy()
         return ids[np.searchsorted(self.first, self.cand[self.cand_starts], "right") - 1]
 
     def removed(self, later: np.ndarray) -> np.ndarray:
@@ -117,13 +120,18 @@ def _receive(answers: pa.Table, kind: int, entries: np.ndarray, bits: int, bucke
     return out
 
 
-def _answers(messages: pa.Table, kind: int, decide) -> pa.Table:
-    """One bucket: decide(order, starts, entries) says of each entry, in sorted order, what to answer."""
+def _answers(messages: pa.Table, kind: int, decide, others=None) -> pa.Table:
+    """One bucket: decide says of each entry, in sorted order, what to answer. others: the second hashes of a message's entries."""
     rows = messages.select(["bucket", "batch", "entries", "more"]).to_pylist()
     sets = [c.unpack_sorted(r["entries"]) for r in rows]
     entries = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    order = np.argsort(entries, kind="stable")
-    starts = c.runs(entries[order])
+    if others is None:
+        order = np.argsort(entries, kind="stable")
+        starts = c.runs(entries[order])
+    else:
+        more = np.concatenate([others(r, len(x)) for r, x in zip(rows, sets)]) if sets else np.zeros(0, np.uint64)
+        order = np.lexsort((more, entries))
+        starts = c.runs(entries[order], more[order])
     said = np.zeros(len(entries), bool)
     said[order] = decide(rows, [len(s) for s in sets], order, starts)
     ends = np.cumsum([len(s) for s in sets])
@@ -144,18 +152,34 @@ def _anchors(rows, sizes, order, starts):
     return np.repeat(yes, np.diff(starts, append=len(order)))
 
 
+def _others(row: dict, n: int) -> np.ndarray:
+    return np.frombuffer(row["more"][8 : 8 + 8 * n], np.uint64)
+
+
 def _laters(rows, sizes, order, starts):
-    ids = np.concatenate([c.unpack_small(r["more"][8:]).astype(np.int64) + np.frombuffer(r["more"][:8], np.int64) for r in rows])[order]
+    ids = np.concatenate([c.unpack_small(r["more"][8 + 8 * n :]).astype(np.int64) + np.frombuffer(r["more"][:8], np.int64) for r, n in zip(rows, sizes)])[order]
     least = np.repeat(np.minimum.reduceat(ids, starts), np.diff(starts, append=len(order)))
     return ids > least
 
 
+def ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ord, a number that says which document comes first: doc_id itself where none repeats or is null."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    most, ids, n = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("doc_id"), F.count("*")).first()
+    if (most or 0) <= 1 and ids == n:
+        return rows.withColumn("ord", F.col("doc_id"))
+    # the last number parts rows that are equal in all
+    sort = [F.col("doc_id").asc_nulls_last(), "__hash", "__part"]
+    rows = rows.withColumns({"__hash": F.xxhash64("text"), "__part": F.xxhash64(F.monotonically_increasing_id())})
+    return c.saved(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).select("doc_id", "text", F.monotonically_increasing_id().alias("ord")))
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, batch_bytes: int = c.BATCH_BYTES, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with texts, the kept text of each document.
 
     window: an even number of words.
     """
-    rows, n, total = c.batched(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), batch_bytes)
+    rows, n, total = c.batched(ordered(docs), batch_bytes, ("ord",))
     if window < 4 or window % 2:
         raise ValueError("window must be an even number from 4 on")
     bits = min(64, max(24, (total // 4 // (window // 2) + 1).bit_length() + 16))
@@ -172,16 +196,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batch_bytes: int = c.
     def extend(group: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Batch(group, window, bits)
         b.candidates(_receive(answers, 1, b.entries, bits, buckets))
-        ids = b.doc_ids()
+        ids, others = b.places(), b.cand_others
 
         def more(i: int, j: int) -> bytes:
             least = ids[i:j].min()
-            return least.tobytes() + c.pack_small((ids[i:j] - least).astype(np.uint64))
+            return least.tobytes() + others[i:j].tobytes() + c.pack_small((ids[i:j] - least).astype(np.uint64))
 
         return _send(group["batch"][0].as_py(), 2, b.cand_entries, 64, buckets, more)
 
     def later(group: pa.Table) -> pa.Table:
-        return _answers(group, 2, _laters)
+        return _answers(group, 2, _laters, _others)
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Batch(group, window, bits)

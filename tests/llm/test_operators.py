@@ -89,6 +89,46 @@ def test_substring_dedup_of_repeated_rows(docs):
     assert sorted(r["n_removed"] for r in substring_dedup.substring_dedup(row.unionByName(row)).collect()) == [0, 30]
 
 
+def brute_dedup(rows):
+    """(doc_id, n_words, n_removed) of rows that come one after another."""
+    first, out = {}, []
+    words = [re.findall(WORD, t or "") for _, t in rows]
+    for k, w in enumerate(words):
+        for i in range(len(w) - 19):
+            first.setdefault(tuple(w[i : i + 20]), (k, i))
+    for k, w in enumerate(words):
+        gone = {j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] != (k, i) for j in range(i, i + 20)}
+        out.append((rows[k][0], len(w), len(gone)))
+    return sorted(out, key=str)
+
+
+def test_substring_dedup_of_null_and_equal_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [" ".join(rng.choices("abcdefghij", k=50)) for _ in range(3)]
+    rows = [(None, base[0])] * 7 + [(4, base[0])] * 5 + [(9, f"x {base[0]} {base[1]}"), (None, base[1]), (2, base[2]), (-3, f"{base[2]} tail"), (None, None), (None, "")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({n: F.lit(n) for n in EXTRA}).repartition(3)
+    # of equal doc_ids, which text comes first is by a hash, but not how much of all of them goes
+    want = brute_dedup(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+    monkeypatch.setattr(common.batched, "__defaults__", (common.BATCH_BYTES, (), 3))
+    for size in (100, 8_000_000):
+        got = sorted([tuple(r)[:3] for r in substring_dedup.substring_dedup(df, batch_bytes=size).collect()], key=str)
+        assert got == want
+
+
+def test_windows_are_told_apart_by_both_hashes(spark, monkeypatch):
+    """With a first hash of few bits, equal in many windows, results stay the same."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices("abcdefghijklmnopqrst", k=70))) for k in range(12)]
+    rows += [(20 + k, f"{rows[k][1]} end") for k in range(5)]
+    words, first = common.word_hashes(*common.text_bytes(pa.array([t for _, t in rows])))
+    batch = substring_dedup._Batch(pa.table({"ord": pa.array([k for k, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])}), 20, 64)
+    batch.candidates(np.ones(len(batch.entries), bool))
+    monkeypatch.setattr(common, "mix", lambda x: x & np.uint64(3))
+    large = common.second_hashes(words, batch.cand, 20)
+    assert len(np.unique(large)) <= 4 < len(np.unique(batch.cand_others)) and len(batch.cand_starts) == len({*zip(batch.cand_entries.tolist(), batch.cand_others.tolist())})
+
+
 def test_lm_scoring(docs, empty):
     lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     tokens = {k: re.findall(WORD, (t or "").translate(lower)) + [None] for k, t in texts()}
