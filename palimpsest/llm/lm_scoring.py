@@ -12,7 +12,7 @@ D / (D + DOUBT) for D counts of the word before: it depends on what stands befor
 probability of the whole text under one model, and score / log10(2) / bytes is minus its bits per byte.
 
 Counts come from all training documents: a table of bounded size for each byte context, of whose cells each batch sends
-those it saw, and the counts of all words and of all pairs, which grow with the corpus and are never broadcast: a batch
+those it saw, which are summed FAN batches at a time, level by level; and the counts of all words and of all pairs, which grow with the corpus and are never broadcast: a batch
 sends its distinct words and pairs as sorted sets of hashes (64 and PAIR_BITS bits) to buckets and gets back their
 counts. Only the quantised context tables (TABLES, 50 MB whatever the input) are broadcast.
 
@@ -44,6 +44,8 @@ PRIOR, DOUBT = (2, 2), 4
 PAIR_BITS = 48
 #: The kind of messages with pairs; 0 are words, from 1 on tables.
 PAIRS = -1
+#: How many messages with cells of a piece of a table are summed in one task.
+FAN = 16
 #: Zero bytes before each text.
 PAD = 6
 
@@ -53,8 +55,9 @@ _BYTE, _PLACE = np.arange(256)[:, None], np.arange(8)[None, :]
 _NODE = ((256 | _BYTE) >> (8 - _PLACE)).astype(np.int32)
 _SIGN = (((_BYTE >> (7 - _PLACE)) & 1) * 2 - 1).astype(np.float32)
 
-_MESSAGE = "kind int, bucket int, batch int, entries binary, counts binary"
-_ANSWER = "kind int, bucket int, batch int, counts binary, distinct bigint, total bigint"
+_MESSAGE = "kind int, bucket int, part int, batch int, entries binary, counts binary"
+_ANSWER = "kind int, bucket int, batch int, entries binary, counts binary, distinct bigint, total bigint"
+_PIECES = "kind int, bucket int, counts binary"
 _RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
 
 
@@ -201,7 +204,33 @@ def byte_costs(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np
     return out
 
 
-def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def _cells(group: pa.Table) -> np.ndarray:
+    """The sums of messages with cells of one piece of a table."""
+    kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
+    out = np.zeros(min(PIECE, 1 << (TABLES[kind - 1][1] + 8)), np.int64)
+    for entries, counts in zip(group["entries"], group["counts"]):
+        out[c.unpack_sorted(entries.as_py()).astype(np.int64) - bucket * PIECE] += c.unpack_small(counts.as_py()).astype(np.int64)
+    return out
+
+
+def _sum_cells(group: pa.Table, part: int) -> tuple:
+    cells, bucket = _cells(group), group["bucket"][0].as_py()
+    on = np.flatnonzero(cells)
+    return group["kind"][0].as_py(), bucket, part, c.pack_sorted((on + bucket * PIECE).astype(np.uint64)), c.pack_small(cells[on].astype(np.uint64)), 0, 0
+
+
+def _finish_cells(group: pa.Table) -> pa.Table:
+    """The logits of a piece of a table."""
+    data = logits(_cells(group).reshape(-1, 256)).tobytes()
+    return pa.table({"kind": group["kind"][:1], "bucket": group["bucket"][:1], "counts": pa.array([data], pa.binary())})
+
+
+def _answer(rows: list[tuple]) -> pa.Table:
+    fields = (("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int32()), ("entries", pa.binary()), ("counts", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()))
+    return pa.table({f: pa.array([r[k] for r in rows], t) for k, (f, t) in enumerate(fields)})
+
+
+def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: int = BATCH_BYTES, fan: int = FAN) -> DataFrame:
     """A row for each document: counts of its tokens, the unigram base score, and the model's score.
 
     held_out: true for documents that the model must not learn from; by default crc32(doc_id) mod 5 = 1.
@@ -246,24 +275,18 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
             {
                 "kind": pa.array([x[0] for x in out], pa.int32()),
                 "bucket": pa.array([x[1] for x in out], pa.int32()),
+                "part": pa.array([batch // fan if x[0] > 0 else 0 for x in out], pa.int32()),
                 "batch": pa.array([batch] * len(out), pa.int32()),
                 "entries": pa.array([c.pack_sorted(x[2]) for x in out], pa.binary()),
                 "counts": pa.array([c.pack_small(x[3].astype(np.uint64)) for x in out], pa.binary()),
             }
         )
 
-    def answer(rows: list[tuple]) -> pa.Table:
-        return pa.table({f: pa.array([r[k] for r in rows], t) for k, (f, t) in enumerate((("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int32()), ("counts", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())))})
-
     def merge(group: pa.Table) -> pa.Table:
         kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
-        got = list(zip(group["batch"].to_pylist(), group["entries"].to_pylist(), group["counts"].to_pylist()))
         if kind > 0:
-            width = min(PIECE, 1 << (TABLES[kind - 1][1] + 8))
-            cells = np.zeros(width, np.int64)
-            for _, entries, counts in got:
-                cells[c.unpack_sorted(entries).astype(np.int64) - bucket * PIECE] += c.unpack_small(counts).astype(np.int64)
-            return answer([(kind, bucket, -1, logits(cells.reshape(-1, 256)).tobytes(), 0, 0)])
+            return _answer([_sum_cells(group, group["part"][0].as_py())])
+        got = list(zip(group["batch"].to_pylist(), group["entries"].to_pylist(), group["counts"].to_pylist()))
         sets = [c.unpack_sorted(e) for _, e, _ in got]
         entries, counts = np.concatenate(sets), np.concatenate([c.unpack_small(x) for _, _, x in got])
         order = np.argsort(entries, kind="stable")
@@ -273,14 +296,19 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
         back[order] = np.repeat(sums, np.diff(starts, append=len(entries)))
         ends = np.cumsum([len(s) for s in sets])
         facts = [(0, 0) if kind == PAIRS else (int((sums > 0).sum()), int(sums.sum()))] + [(0, 0)] * len(got)
-        return answer([(kind, bucket, b, c.pack_small(back[e - len(s) : e]), *f) for (b, _, _), s, e, f in zip(got, sets, ends, facts)])
+        return _answer([(kind, bucket, b, None, c.pack_small(back[e - len(s) : e]), *f) for (b, _, _), s, e, f in zip(got, sets, ends, facts)])
 
-    answers = c.saved(rows.groupBy("batch").applyInArrow(gather, _MESSAGE).groupBy("kind", "bucket").applyInArrow(merge, _ANSWER))
+    answers = c.saved(rows.groupBy("batch").applyInArrow(gather, _MESSAGE).groupBy("kind", "bucket", "part").applyInArrow(merge, _ANSWER))
     distinct, running = answers.agg(F.sum("distinct"), F.sum("total")).first()
     ends = rows.filter(~F.col("held_out")).count()
     n_all, n_distinct = (running or 0) + ends, (distinct or 0) + (ends > 0)
     tables = [np.zeros((1 << b) * 256, np.int8) for _, b in TABLES]
-    for row in answers.filter("kind > 0").select("kind", "bucket", "counts").toLocalIterator():
+    parts, cells = -(-n // fan), answers.filter("kind > 0")
+    while parts > fan:
+        up = cells.withColumn("batch", F.floor(F.col("batch") / fan).cast("int"))
+        cells = c.saved(up.groupBy("kind", "bucket", "batch").applyInArrow(lambda group: _answer([_sum_cells(group, group["batch"][0].as_py())]), _ANSWER))
+        parts = -(-parts // fan)
+    for row in cells.groupBy("kind", "bucket").applyInArrow(_finish_cells, _PIECES).toLocalIterator():
         part = np.frombuffer(row["counts"], np.int8)
         tables[row["kind"] - 1][row["bucket"] * PIECE :][: len(part)] = part
     shared = spark.sparkContext.broadcast(tables)

@@ -142,11 +142,71 @@ def test_lm_scoring(docs, empty):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(ts), sum(count[t] > 0 for t in ts), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts))
         assert r["score"] < 0
-    again = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scoring(docs).collect()}
-    assert all(again[k] == got[k]["score"] for k in got)  # whatever the batches
+    for df in (lm_scoring.lm_scoring(docs), lm_scoring.lm_scoring(docs, batch_bytes=1500, fan=2)):
+        again = {r["doc_id"]: r["score"] for r in df.collect()}
+        assert all(again[k] == got[k]["score"] for k in got)  # whatever the batches, and the levels of sums
     assert got[302]["score"] == got[303]["score"] and lm_scoring.lm_scoring(empty).count() == 0
 
 
+def slow_mixer(text: bytes, train: list[bytes]) -> list[float]:
+    """Minus the natural logarithm of the probability of each byte and of the end, bit by bit, with dictionaries of counts."""
+
+    def places(data):
+        data = bytes(lm_scoring.PAD) + data + b"\0"
+        for i in range(lm_scoring.PAD, len(data)):
+            prev = [np.array([data[i - 1 - d]], np.uint8) for d in range(lm_scoring.PAD)]
+            yield data[i], [int(lm_scoring.contexts(prev, o, b)[0]) for o, b in lm_scoring.TABLES]
+
+    counts = Counter()
+    for t in train:
+        for byte, found in places(t):
+            for k, ctx in enumerate(found):
+                counts[k, ctx, byte] += 1
+    by_context = {}
+    for (k, ctx, byte), n in counts.items():
+        by_context.setdefault((k, ctx), []).append((byte, n))
+
+    def logit(k, ctx, start, bit_place):
+        n = [0, 0]
+        for byte, m in by_context.get((k, ctx), []):
+            if byte >> (8 - bit_place) == start:
+                n[byte >> (7 - bit_place) & 1] += m
+        return float(np.clip(np.rint(lm_scoring.QUANTUM * math.log((n[1] + 0.4) / (n[0] + 0.4))), -127, 127)) / lm_scoring.QUANTUM
+
+    weights = [[w] * 8 for w in lm_scoring.WEIGHTS]
+    steps, out = [[0.0] * 8 for _ in weights], []
+    for i, (byte, found) in enumerate(places(text)):
+        cost = 0.0
+        for b in range(8):
+            sign = 1 if byte >> (7 - b) & 1 else -1
+            x = [logit(k, ctx, byte >> (8 - b), b) for k, ctx in enumerate(found)]
+            p = 1 / (1 + math.exp(-min(40.0, max(-40.0, sign * sum(w[b] * v for w, v in zip(weights, x))))))
+            cost -= math.log(p)
+            for s, v in zip(steps, x):
+                s[b] += lm_scoring.RATE / lm_scoring.STEP * (1 - p) * sign * v
+        out.append(cost)
+        if i % lm_scoring.STEP == lm_scoring.STEP - 1:
+            for w, s in zip(weights, steps):
+                for b in range(8):
+                    w[b] += s[b]
+                    s[b] = 0.0
+    return out
+
+
+def test_lm_bits_against_a_slow_mixer():
+    rng = random.Random(6)
+    train = [" ".join(rng.choices(["alpha", "beta", "Gamma", "é", "delta,"], k=80)).encode() for _ in range(6)]
+    texts_ = [" ".join(rng.choices(["alpha", "beta", "Gamma", "zeta"], k=70)).encode(), b"", "é\n\tq".encode(), train[0]]
+    tables = [np.zeros(1 << (b + 8), np.int64) for _, b in lm_scoring.TABLES]
+    for t, (cells, n) in zip(tables, lm_scoring.count_cells(*common.text_bytes(pa.array([x.decode() for x in train])))):
+        t[cells] = n
+    tables = [lm_scoring.logits(t.reshape(-1, 256)).ravel() for t in tables]
+    data, at = common.text_bytes(pa.array([x.decode() for x in texts_]))
+    got = lm_scoring.byte_costs(data, at, tables)
+    want = [x for t in texts_ for x in slow_mixer(t, train)]
+    assert got == pytest.approx(want, rel=1e-3, abs=1e-4)
+
+
 def test_lm_is_a_distribution():
     """Probabilities of different texts don't sum to more than one, and counts make what was seen likely."""
     data, at = common.text_bytes(pa.array(["abracadabra " * 50]))
