@@ -8,12 +8,15 @@ Sets are put into partitions by their length, whose bounds rise by 1 / THRESHOLD
 the threshold, nor can those whose lengths are further apart than it, and only the others are intersected by similar().
 likeness() is the Jaccard similarity itself, whatever the lengths.
 
-neighbours() finds the next document in descending doc_id without a global sort: ids are cut into ranges at their
-approximate quantiles, each range is sorted in a task, and the largest document of each range is copied into the range
-above, where the smallest one needs it (that of the last into the first: after the last comes the first).
-
-Null texts are empty; an empty text has the signature of the empty string. Rows that repeat a doc_id follow each other
-in the order of their texts. Extra columns are not read. A table without documents gives no rows.
+neighbours() finds the next document in descending doc_id without a global sort: rows are cut into ranges at bounds taken
+from a sample of their keys, each range is sorted in a task, and the first row of each range is copied to the end of the
+range before, whose last row needs it (that of the first range to the last: after the last comes the first). Keys are of
+doc_id, a hash of the text and, where more than c.MOST_EQUAL rows are equal in both, a number, so that any group of rows is
+cut. There are up to MOST_RANGES ranges of about RANGE_ROWS rows, and of more beyond that; their sorts spill.
+
+Null texts are empty; an empty text has the signature of the empty string. Rows without doc_id come after all others.
+Rows that repeat a doc_id follow each other by the hash of their texts. Extra columns are not read. A table without
+documents gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.llm import common as c
+
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "the and of to in is that for with as on by it this be are was "
@@ -30,7 +35,7 @@ ANCHORS = (
     "el los las del y una por con para se es"
 ).split()
 CHAIN, REACH, THRESHOLD = 2, 8, 0.8
-MOST_RANGES, RANGE_ROWS = 1024, 5000
+MOST_RANGES, RANGE_ROWS, SAMPLES = 1 << 15, 5000, 16
 _MASK = (1 << 40) - 1
 
 
@@ -75,20 +80,54 @@ def similar(a: Column, b: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(near & (short >= threshold * long), likeness(a, b) >= threshold).otherwise(False)
 
 
+def _rising(number: Column) -> Column:
+    """A long as 16 digits that sort as it does."""
+    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def _next(level: Column, key: Column):
+    return lambda i: i * 32 + F.size(F.filter(F.slice(level, i * 32 + 1, F.lit(32)), lambda b: b <= key))
+
+
+def _rank(key: Column, bounds: list[str]) -> Column:
+    """How many of rising bounds are at most key: at three levels, of which each looks at 32."""
+    literal = lambda x: F.split(F.lit(",".join(x)), ",")  # noqa: E731 - one literal, which the optimizer parses once
+    levels = [bounds, bounds[31::32], bounds[31::32][31::32]]
+    found = F.lit(0)
+    for level in reversed([x for x in levels if x]):
+        found = c.let(found, _next(literal(level), key))
+    return found
+
+
 def neighbours(rows: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """rows (doc_id, text and more) with next_<column> from the next row in descending doc_id, the first after the last."""
-    n = rows.count()
-    k = min(MOST_RANGES, max(1, -(-n // range_rows)))
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 100 * k)).first()[0] or [])) if k > 1 else []
-    rank = F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    ranges = rows.select("doc_id", rank.alias("range")).groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()
-    above = [r["range"] for r in ranges[1:]] + [r["range"] for r in ranges[:1]]
-    to = {r["top"]: a for r, a in zip(ranges, above)}
-    copy = F.element_at(F.create_map(*[F.lit(x) for k, v in to.items() for x in (k, v)]), F.col("doc_id")) if to else F.lit(None).cast("int")
-    dealt = rows.withColumn("__to", F.explode(F.filter(F.array(F.struct(rank.alias("range"), F.lit(False).alias("copy")), F.struct(copy.alias("range"), F.lit(True).alias("copy"))), lambda x: x["range"].isNotNull())))
-    order = W.partitionBy("__to.range").orderBy(F.col("__to.copy"), F.col("doc_id").desc(), "text")
-    out = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return out.filter("not __to.copy").drop("__to")
+    hashed = F.xxhash64("text")
+    n, most = rows.groupBy("doc_id", hashed.alias("h")).count().agg(F.sum("count"), F.max("count")).first()
+    part = F.lit("")
+    if (most or 0) > c.MOST_EQUAL:
+        rows = c.saved(rows.withColumn("__row", F.monotonically_increasing_id()))
+        part = _rising(F.xxhash64("__row"))
+    key = F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), _rising(F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("bigint")))), _rising(hashed), part)
+    rows = rows.withColumn("__key", key)
+    k = min(MOST_RANGES, max(1, -(-(n or 0) // range_rows)))
+    bounds = []
+    if k > 1:
+        drawn = F.pmod(F.xxhash64(F.lit("range"), "__key"), F.lit(1 << 30)) < min(1.0, SAMPLES * k / n) * (1 << 30)
+        sample = sorted(r[0] for r in rows.select("__key").filter(drawn).collect())
+        bounds = sorted({sample[len(sample) * i // k] for i in range(1, k)}) if sample else []
+    rows = rows.withColumn("__range", _rank(F.col("__key"), bounds) if bounds else F.lit(0))
+    # the first key of each range, and the range that its row is copied to
+    firsts = sorted((r["__range"], r["first"]) for r in rows.select("__range", "__key").groupBy("__range").agg(F.min("__key").alias("first")).collect())
+    first, to = [""] * (len(bounds) + 1), ["0"] * (len(bounds) + 1)
+    for (at, own), (before, _) in zip(firsts, firsts[-1:] + firsts[:-1]):
+        first[at], to[at] = own, str(before)
+    literal = lambda x: F.split(F.lit(",".join(x)), ",")
+    copy = F.when(F.get(literal(first), F.col("__range")) == F.col("__key"), F.get(literal(to), F.col("__range")).cast("int"))
+    places = F.array(F.struct(F.col("__range").alias("range"), F.lit(False).alias("copy")), F.struct(copy.alias("range"), F.lit(True).alias("copy")))
+    dealt = rows.withColumn("__to", F.explode(F.filter(places, lambda x: x["range"].isNotNull()))).drop("__range")
+    order = W.partitionBy("__to.range").orderBy(F.col("__to.copy"), "__key")
+    out = dealt.select("*", *[F.lead(x).over(order).alias(f"next_{x}") for x in columns])
+    return out.filter("not __to.copy").drop("__to", "__key", "__row")
 
 
 def spotsigs(docs: DataFrame) -> DataFrame:

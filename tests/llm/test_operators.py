@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on rows with every awkward case."""
 
 import base64
+import bisect
 import hashlib
 import math
 import random
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -554,6 +556,28 @@ def test_spotsigs(docs, empty, monkeypatch):
     assert got[300]["found"] == got[3]["found"] and spotsigs.spotsigs(empty).count() == 0
 
 
+@pytest.mark.parametrize("most_equal", [1000, 3])
+def test_spotsigs_of_null_and_repeated_ids(spark, monkeypatch, most_equal):
+    monkeypatch.setattr(common, "MOST_EQUAL", most_equal)
+    rows = [(None, f"t{k}") for k in range(9)] + [(None, None)] * 5 + [(7, f"s{k % 5}") for k in range(20)] + [(-(1 << 63), "low"), ((1 << 63) - 1, "high"), (0, ""), (3, "😀é")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({n: F.lit(n) for n in EXTRA}).repartition(3)
+    hashed = lambda t: (xxhash.xxh64((t or "").encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed(r[1])))
+    want = [(r[0], r[1] or "", order[(i + 1) % len(order)][1] or "") for i, r in enumerate(order)]
+    for size in (4, 5000):
+        prepared = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        got = [(r["doc_id"], r["text"], r["next_text"]) for r in spotsigs.neighbours(prepared, ["text"], size).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert spotsigs.spotsigs(df.filter("doc_id is null")).count() == 14 and spotsigs.spotsigs(df.limit(1)).first()["edited"] is not None
+
+
+def test_ranks_of_many_bounds(spark):
+    bounds = sorted({f"{x:06}" for x in random.Random(1).sample(range(10**6), 5000)})
+    keys = [f"{x:06}" for x in random.Random(2).sample(range(10**6), 300)] + bounds[:3] + bounds[-3:]
+    got = {r["k"]: r["n"] for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", spotsigs._rank(F.col("k"), bounds).alias("n")).collect()}
+    assert got == {k: bisect.bisect_right(bounds, k) for k in keys}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
