@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from palimpsest.sources.store import Store
+from palimpsest.sources.store import Store, _Files
 
 MOST = 1023
 
 
+def stream_id(store: Store, checkpoint: str) -> str:
+    """The id that a checkpoint gives its query: another checkpoint, even in the same place, is another stream."""
+    files = _Files(store.spark, checkpoint)
+    return json.loads(files.read("metadata"))["id"] if files.exists("metadata") else ""
+
+
 def start(stream: DataFrame, store: Store, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StreamingQuery:
-    """Appends each micro-batch once: the store knows the last batch applied, so one that comes again has no effect."""
+    """Appends each micro-batch once: the store knows the last batch of each stream, so one that comes again has no effect."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        store.append(prepare(rows), number)
+        store.append(prepare(rows), number, stream_id(store, checkpoint))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
