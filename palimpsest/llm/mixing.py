@@ -32,7 +32,7 @@ from palimpsest.llm import common as c
 
 POWER, KEEP, SWEEPS, TOLERANCE, SEED = 0.5, 0.5, 12, 1e-3, "mix"
 DIMENSIONS = ("source", "lang", "topic")
-#: Beginnings of words that tell what a text is about, in English, German, French and Spanish, all in small letters.
+#: Beginnings of words that tell what a text is about, in English, German, French and Spanish.
 TOPICS = {
     "law": "licens lizenz licence licencia copyright warrant gesetz gericht tribunal juzgado legal attorney abogad",
     "software": "software version apache source-code python javascript server api token linux quelltext logiciel programa",
@@ -51,14 +51,22 @@ def form(text: Column) -> Column:
 
 
 def _begin(words: str) -> str:
-    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{words.replace(' ', '|')})"
+    """Any of these beginnings of words, the first letter small or large; by first letters, as each place is tried."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words.split()):
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"[{k.upper()}{k}](?:{'|'.join(v)})" for k, v in by.items()) + ")"
+
+
+#: Before a word; SQL has no lookbehind and takes the character along.
+_BEFORE, _SQL_BEFORE = r"(?<![0-9A-Za-z\x80-\x{10FFFF}])", r"(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 
 
 def topic_of(text: Column) -> Column:
     """The default topic of a text."""
-    own = lambda t: F.greatest(*[F.struct(F.regexp_count(t, F.lit(_begin(words))).alias("n"), F.lit(-k).alias("k")) for k, (_, words) in enumerate(TOPICS.items())])
+    count = [F.struct(F.regexp_count(text, F.lit(_BEFORE + _begin(words))).alias("n"), F.lit(-k).alias("k")) for k, words in enumerate(TOPICS.values())]
     names = F.array(*[F.lit(n) for n in TOPICS])
-    about = c.let(F.lower(text), lambda t: F.when(t.rlike(_begin(" ".join(TOPICS.values()))), F.get(names, -own(t)["k"])))
+    about = F.when(text.rlike(_BEFORE + _begin(" ".join(TOPICS.values()))), F.get(names, -F.greatest(*count)["k"]))
     return F.coalesce(about, form(text))
 
 
@@ -142,7 +150,7 @@ def _sql() -> str:
             new = f"s{k}_{d}"
             steps.append(f"{new} AS MATERIALIZED (SELECT source, lang, topic, words, share * want / sum(share) OVER (PARTITION BY {d}) AS share FROM {now} JOIN w_{d} USING ({d}))")
             now = new
-    counts = ", ".join(f"len(regexp_extract_all(lower(coalesce(text, '')), '{_begin(words)}')) AS t{k}" for k, words in enumerate(TOPICS.values()))
+    counts = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{_SQL_BEFORE}{_begin(words)}')) AS t{k}" for k, words in enumerate(TOPICS.values()))
     most = f"greatest({', '.join(f't{k}' for k in range(len(TOPICS)))})"
     about = " ".join(f"WHEN {most} > 0 AND t{k} = {most} THEN '{name}'" for k, name in enumerate(TOPICS))
     return rf"""
