@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -413,7 +414,7 @@ def counter_delta(spark, d):
 
 @query(f" SELECT w, ts, seq, concat_ws(':', x, y, z, b, a, actor, cause, kind, ts, seq, c) AS line FROM m WHERE {_BOX}")
 def row_dump(spark, d):
-    return select(_m(spark, d), PLAN).select("w", "ts", "seq", F.concat_ws(":", *[F.col(n).cast("string") for n in ("x", "y", "z", "b", "a", "actor", "cause", "kind", "ts", "seq", "c")]).alias("line"))
+    return select(_m(spark, d), PLAN).select("w", "ts", "seq", reports.dumped(["x", "y", "z", "b", "a", "actor", "cause", "kind", "ts", "seq", "c"]).alias("line"))
 
 
 @query(" SELECT max(n) AS peak, count(*) AS collections FROM (SELECT sum(user_id) AS n FROM events GROUP BY event_id // 100)", start="")
@@ -495,8 +496,12 @@ def slot_clock_stamps(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; where none is configured (tests), a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palimpsest-")
+    """A new path in the folder that driver and executors share; where none is configured and all runs in this process (tests), a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="palimpsest-")
     return f"{base.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 

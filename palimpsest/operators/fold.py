@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codec import STATE, WORLD, in_range
 from palimpsest.schema import POSITION, StoreError
 
 #: One long in place of (ts, seq), which keeps max_by and min_by in hash aggregation.
@@ -22,11 +23,18 @@ def state_as_of(rows: DataFrame, ts: int) -> DataFrame:
     return rows.filter(F.col("ts") <= ts).groupBy(*POSITION).agg(F.max_by("a", F.expr(ORDER)).alias("state"))
 
 
-def classify(folded: DataFrame, world: DataFrame) -> DataFrame:
-    """With outcome: already (before anything else), mismatched or applied."""
+def classify(folded: DataFrame, world: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """With outcome: already (before anything else), mismatched or applied.
+
+    states: the ids (state) that can be put into the world; a target that is none of them is mismatched.
+    """
     out = folded.join(world, POSITION, "left")
-    outcome = F.when(F.col("state") == F.col("target"), "already").when(F.col("state").eqNullSafe(F.col("expected")), "applied").otherwise("mismatched")
-    return out.withColumn("outcome", outcome)
+    known = F.lit(True)
+    if states is not None:
+        out = out.join(states.select(F.col("state").cast("int").alias("target")).distinct().withColumn("__known", F.lit(True)), "target", "left")
+        known = F.col("__known").isNotNull()
+    outcome = F.when(F.col("state") == F.col("target"), "already").when(F.col("state").eqNullSafe(F.col("expected")) & known, "applied").otherwise("mismatched")
+    return out.withColumn("outcome", outcome).select(*folded.columns, "state", "outcome")
 
 
 def summary(classified: DataFrame) -> DataFrame:
@@ -79,7 +87,28 @@ def net_changes(rows: DataFrame, tick_ms: int) -> DataFrame:
     )
 
 
+def invalid(before: bool = True) -> Column:
+    """Why a captured row can't be recorded, null where it can: its position, or another field, is out of range."""
+    state = lambda n: F.coalesce(~F.col(n).between(0, STATE), F.lit(True))
+    fields = F.coalesce(~F.col("w").between(0, WORLD) | ~F.col("cause").between(0, 255) | ~F.col("kind").between(0, 15), F.lit(True))
+    fields = fields | state("b") if before else fields
+    return F.when(~F.coalesce(in_range("x", "y", "z"), F.lit(False)), "out_of_range").when(fields, "invalid")
+
+
+def confirmed() -> Column:
+    """The outcome of a net change whose state now (a, null where it could not be read) is known."""
+    a = F.col("a")
+    return F.when(a.isNull(), "unreadable").when(~a.between(0, STATE), "invalid").when(a == F.col("b"), "rejected").when(F.col("ambiguous"), "ambiguous").otherwise("published")
+
+
 def outcomes(net: DataFrame) -> DataFrame:
-    """Observations by outcome: unchanged net states are rejected, ambiguous ones lost, others published."""
-    outcome = F.when(~F.col("a").between(0, (1 << 24) - 1), "invalid").when(F.col("a") == F.col("b"), "rejected").when(F.col("ambiguous"), "lost").otherwise("published")
+    """Observations by outcome: unchanged net states are rejected, ambiguous, unreadable and invalid ones lost, others published."""
+    told = confirmed()
+    outcome = F.when(told.isin("ambiguous", "unreadable"), "lost").otherwise(told)
     return net.groupBy(outcome.alias("outcome")).agg(F.sum("observations").cast("bigint").alias("observations"), F.count("*").alias("groups"))
+
+
+def progress(rows: DataFrame, by: list[str], counters: list[str], less: str = "less") -> DataFrame:
+    """Sums of counters by group, where rows flagged as less are taken off."""
+    sign = F.when(F.col(less), -1).otherwise(1)
+    return rows.groupBy(*by).agg(*[F.sum(sign * F.col(n)).cast("bigint").alias(n) for n in counters])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,11 +17,42 @@ def latest(runs: DataFrame, by: str, at: str) -> DataFrame:
     return runs.groupBy(by).agg(F.max_by(F.struct(*runs.columns), F.coalesce(F.col(at), F.lit(-(1 << 62)))).alias("r")).select("r.*")
 
 
-def gate(expected: DataFrame, measured: DataFrame) -> DataFrame:
-    """name, limit -> verdict: missing, violation (null or above the limit) or ok."""
+#: Fixed value: bytes that the least object takes; a control that shows less was not measured.
+LEAST_OBJECT = 16.0
+
+
+def gate(expected: DataFrame, measured: DataFrame, controls: DataFrame | None = None, least: float = LEAST_OBJECT) -> DataFrame:
+    """name, limit -> verdict: missing, violation (null or above the limit) or ok.
+
+    controls: names whose values must be there and at least `least`; a control that shows nothing means a broken instrument.
+    """
     seen = measured.select("name", "value", F.lit(True).alias("seen"))
     verdict = F.when(F.col("seen").isNull(), "missing").when(F.col("value").isNull() | (F.col("value") > F.col("limit")), "violation").otherwise("ok")
-    return expected.join(seen, "name", "left").select("name", "limit", "value", verdict.alias("verdict"))
+    out = expected.join(seen, "name", "left").select("name", "limit", "value", verdict.alias("verdict"))
+    if controls is None:
+        return out
+    verdict = F.when(F.col("value").isNull(), "missing").when(F.col("value") < least, "violation").otherwise("ok")
+    own = controls.select("name").join(seen, "name", "left").select("name", F.lit(None).cast(expected.schema["limit"].dataType).alias("limit"), "value", verdict.alias("verdict"))
+    return out.unionByName(own)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """The objects of JSON files, each a whole document or a list of them; a file that doesn't parse raises."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+SUITE = "_name string, _tests int, _failures int, _errors int, _skipped int"
+
+
+def read_suites(spark: SparkSession, path: str) -> DataFrame:
+    """name, tests, failures, errors and skipped of the test suites of XML files; counts that are not there are null."""
+    found = spark.read.format("xml").option("rowTag", "testsuite").option("mode", "FAILFAST").schema(SUITE).load(path)
+    return found.select(*[F.col(f"_{n}").alias(n) for n in ("name", "tests", "failures", "errors", "skipped")])
+
+
+def dumped(names: list[str], separator: str = ":") -> Column:
+    """A row as text."""
+    return F.concat_ws(separator, *[F.col(n).cast("string") for n in names])
 
 
 def deltas(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -42,18 +42,21 @@ class Rollbacks:
     """world: the current state by position (w, x, y, z, state), read again for each step.
 
     apply: takes the mutations of a step and makes them so. contended: chunks (w, c) that can't be written now; they are
-    counted, the cursor stays before the first of them, and the operation ends as PARTIAL.
+    counted, the cursor stays before the first of them, and the operation ends as PARTIAL. states: the ids that the world
+    can be given, all if none. worlds: the worlds that are loaded, all if none; those of others are refused.
     """
 
-    def __init__(self, store: Store, world: Callable[[], DataFrame], apply: Callable[[DataFrame], None], contended: DataFrame | None = None, run: str | None = None, chunks: int = CHUNKS):
+    def __init__(self, store: Store, world: Callable[[], DataFrame], apply: Callable[[DataFrame], None], contended: DataFrame | None = None, run: str | None = None, chunks: int = CHUNKS, states: DataFrame | None = None, worlds: set[int] | None = None):
         self.store, self.world, self.apply, self.contended = store, world, apply, contended
-        self.run, self.chunks, self._cancelled = run or uuid.uuid4().hex, chunks, set()
+        self.run, self.chunks, self._cancelled, self._running = run or uuid.uuid4().hex, chunks, set(), set()
+        self.states, self.worlds = states, worlds
 
     def cancel(self, key: int) -> None:
         """The operation stops before its next step."""
         self._cancelled.add(key)
 
     def rollback(self, world: int, box: Box, from_ts: int, to_ts: int, actor: int | None = None, now: int | None = None) -> Result:
+        self._loaded(world)
         self.store.seal()
         self._refuse(from_ts, to_ts)
         stored = {"world": world, "box": [box.x0, box.y0, box.z0, box.x1, box.y1, box.z1], "from_ts": from_ts, "to_ts": to_ts, "actor": actor, "now": to_ts if now is None else now}
@@ -64,6 +67,10 @@ class Rollbacks:
         op = self.store.operation(key)
         if op is None or op["state"] == STATE_DONE:
             raise StoreError("CONTENDED", f"operation {key} can't be resumed")
+        if key in self._running:
+            raise StoreError("CONTENDED", f"operation {key} is running")
+        self._loaded(op["plan"]["world"])
+        self.store.seal()
         if op["run"] != self.run:
             self.store.rewind_operation(key, self.run)
         self._refuse(op["plan"]["from_ts"], op["plan"]["to_ts"])
@@ -73,10 +80,21 @@ class Rollbacks:
     def status(self) -> dict:
         return self.store.stats() | {"unfinished": [o["id"] for o in self.store.unfinished_operations()]}
 
+    def _loaded(self, world: int) -> None:
+        if self.worlds is not None and world not in self.worlds:
+            raise StoreError("CONTENDED", f"world {world} is not loaded")
+
     def _refuse(self, from_ts: int, to_ts: int) -> None:
         refuse(self.store.gaps_between(from_ts, to_ts), from_ts, to_ts, rollback=True)
 
     def _go(self, key: int) -> Result:
+        self._running.add(key)
+        try:
+            return self._steps(key)
+        finally:
+            self._running.discard(key)
+
+    def _steps(self, key: int) -> Result:
         op = self.store.operation(key)
         p, cursor, progress = op["plan"], op["cursor"], {k: 0 for k in COUNTERS} | op["progress"] | {"contended": 0}
         plan = ScanPlan(p["world"], Box(*p["box"]), p["from_ts"], p["to_ts"], NEWEST, None if p["actor"] is None else (p["actor"],))
@@ -95,7 +113,7 @@ class Rollbacks:
             step = left.filter(F.col("c") >= below)
             stuck = self._contended(step)
             free = step if stuck is None else step.join(stuck, ["w", "c"], "left_anti")
-            told = fold.classify(fold.fold(free), self.world()).persist()
+            told = fold.classify(fold.fold(free), self.world(), self.states).persist()
             try:
                 counts = fold.summary(told).first().asDict()
                 self.apply(fold.writes(told, p["now"]))

@@ -104,13 +104,13 @@ class Store:
         if self.files.exists("manifest") and self.manifest()["format"] > FORMAT_VERSION:
             raise StoreError("CORRUPT", "the store has a newer format")
         if exclusive:
-            if not self.files.create("writer.lock", uuid.uuid4().hex):
+            if not self.files.create("locks/writer", uuid.uuid4().hex):
                 raise StoreError("LOCKED", "another writer has the store")
             self.locked = True
 
     def close(self) -> None:
         if self.locked:
-            self.files.delete("writer.lock")
+            self.files.delete("locks/writer")
             self.locked = False
 
     # snapshots

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsest import catalog
+from palimpsest import catalog, lifecycle  # noqa: F401 - registers more queries
 
 SF = "/root/testdata/sf0.001"
 
