@@ -401,6 +401,87 @@ def test_language_id(spark, empty):
     assert {r["lang_pred"] for r in language_id.language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def slow_grams(text: str) -> dict[int, int]:
+    out, points = Counter(), [ord(x) for x in text.lower()]
+    for n in range(3):
+        for i in range(len(points) - n):
+            key = 0
+            for j in range(n + 1):
+                key = (key * 0x01000193 + points[i + j] + j + 1) % 2**32
+            out[((key ^ key >> 15) * 2654435761 % 2**32) >> 17] += 1
+    return out
+
+
+def slow_language_id(rows, held):
+    """Prediction and score of each text by dictionaries: TF-IDF of n-grams, follow-the-regularised-leader, temperature from the same search."""
+    seen = [(k, t, g) for k, t, g in rows if k not in held and t is not None and g is not None]
+    grams = {k: slow_grams(t) for k, t, _ in rows if t}
+    languages, total = sorted({g for *_, g in seen}), len(seen)
+    docs = Counter(x for k, t, _ in seen for x in grams.get(k, ()))
+    idf = lambda x: math.log((1 + total) / (1 + docs[x])) + 1
+
+    def features(k):
+        v = {x: (1 + math.log(n)) * idf(x) for x, n in grams[k].items()}
+        size = math.sqrt(sum(a * a for a in v.values()))
+        return {x: a / size for x, a in v.items()}
+
+    def place(k):
+        seed = xxhash.xxh64(b"order", seed=42).intdigest()
+        h = xxhash.xxh64(int(k).to_bytes(8, "little", signed=True), seed=seed).intdigest()
+        return h - 2**64 if h >= 2**63 else h, k
+
+    order = [(languages.index(g), features(k)) for k, t, g in sorted(seen, key=lambda r: place(r[0])) if t]
+    learn, tune = [d for i, d in enumerate(order) if i % 5 or len(order) < 10], [d for i, d in enumerate(order) if i % 5 == 0 and len(order) >= 10]
+    z, n, w = Counter(), Counter(), Counter()
+    logits = lambda f: [sum(a * w[x, c] for x, a in f.items()) for c in range(len(languages))]
+
+    def shares(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    for _ in range(language_id.EPOCHS):
+        for label, f in learn:
+            p = shares(logits(f))
+            for c in range(len(languages)):
+                for x, a in f.items():
+                    g = a * (p[c] - (c == label))
+                    step = (math.sqrt(n[x, c] + g * g) - math.sqrt(n[x, c])) / language_id.ALPHA
+                    z[x, c] += g - step * w[x, c]
+                    n[x, c] += g * g
+            for c in range(len(languages)):
+                for x in f:
+                    v = z[x, c]
+                    w[x, c] = 0 if abs(v) <= language_id.L1 else -(v - math.copysign(language_id.L1, v)) / ((language_id.BETA + math.sqrt(n[x, c])) / language_id.ALPHA + language_id.L2)
+    best, least = 1.0, None
+    if tune:
+        for i in range(6001):
+            t = math.exp(-3 + i / 1000)
+            loss = -sum(math.log(shares([v / t for v in logits(f)])[label]) for label, f in tune)
+            if least is None or loss < least:
+                best, least = t, loss
+    out = {}
+    for k, t, _ in rows:
+        if not t or not any(x.isalpha() for x in t):
+            out[k] = ("und", 0.0)
+        else:
+            p = shares([v / best for v in logits(features(k))])
+            out[k] = (languages[p.index(max(p))], max(p))
+    return out
+
+
+def test_language_id_against_a_slow_one(spark):
+    rng = random.Random(12)
+    words = {"en": ["the", "house", "and", "with", "night"], "de": ["das", "Haus", "und", "mit", "nächt"], "fr": ["la", "maison", "avec", "été", "nuit"]}
+    rows = [(k, " ".join(rng.choices(words[g], k=rng.randrange(1, 5))), g if rng.random() < 0.9 else rng.choice("xy")) for k, g in enumerate(rng.choices(list(words), k=36))]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "12 %", None), (103, "maison night", None), (104, "Haus", "en")]
+    held = {k for k, *_ in rows if zlib.crc32(str(k).encode()) % 3 == 1}
+    got = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(2)).collect()}
+    want = slow_language_id(rows, held)
+    assert {k: r["held_out"] for k, r in got.items()} == {k: k in held for k in got} and set(got) == set(want)
+    for k, (name, score) in want.items():
+        assert got[k]["lang_pred"] == name and got[k]["score"] == pytest.approx(score, abs=0.01), k
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     logits = rng.normal(size=(4000, 3))
@@ -815,6 +896,70 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == left.count()
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Planted cases, with repeated and null ids: what each stage keeps and changes is what loops over its input say."""
+    rng = random.Random(21)
+    vocabulary = {"en": "the house and with night over rivers small green".split(), "de": "das haus und mit nacht über fluss klein grün".split()}
+    text = lambda g, n: " ".join(rng.choices(vocabulary[g], k=n)) + f" {rng.randrange(10**6)}x"
+    rows = [(k, text(g, rng.randrange(20, 60)), g, f"s{k % 3}") for k, g in enumerate(rng.choices(["en", "de"], k=60))]
+    rows += [(200, f"{rows[0][1]} tail", "en", "s0"), (5, rows[1][1], "en", "s1"), (None, rows[2][1], "de", "s1"), (None, text("en", 30), "en", None), (7, text("de", 30), None, "s2")]
+    item = text("en", 20)
+    rows += [(300, f"{item} and more", "en", "s0"), (301, f"write to a{1}@b.example or 10.0.0.1 {text('en', 25)}", "en", "s1"), (302, None, "en", "s1"), (303, "", "de", "s1"), (304, "99 %", "en", "s2")]
+    rows += [(400 + k, f"mail me at u{k}@a.example today {text('en', 30)}", "en", "s0") for k in range(7)] + [(410, f"mail me at id77 today {text('en', 30)}", "en", "s0")]
+    folder = f"{tmp_path}/sf"
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    left, names = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in left.collect()]
+        left = common.saved(stage(spark, left, folder))
+        after = sorted([tuple(r) for r in left.collect()], key=str)
+        names.append(name)
+        if name == "language":
+            # of rows with ids of their own, all that a slow model tells apart stay; the others are those without a letter
+            assert sorted(before, key=str) == sorted([*after, *(r for r in before if r[1] in (None, "", "99 %"))], key=str)
+        elif name == "near_duplicates":
+            assert sorted([(r[0], r[1]) for r in after], key=str) == brute_groups([(r[0], r[1]) for r in before])[1]
+        elif name == "decontaminate":
+            grams = {tuple(alnum(item)[i : i + 13]) for i in range(len(alnum(item)) - 12)}
+
+            def bad(t):
+                w, hit = alnum(t), set()
+                for i in range(len(w) - 12):
+                    hit |= set(range(i, i + 13)) if tuple(w[i : i + 13]) in grams else set()
+                return hit and 20 * len(hit) >= len(w)
+
+            assert after == sorted([r for r in before if not bad(r[1])], key=str) and len(after) < len(before)
+        elif name == "pii":
+            texts_ = [r[1] for r in before]
+            added, want = bootstrapped(texts_), []
+            for i, r in enumerate(before):
+                spans = [(m.start(), m.end(), n) for n, p in BASE.items() for m in re.finditer(p, r[1]) if valid(n, m.group())]
+                spans = sorted(spans + [(a, a + len(v), pii.KINDS[k]) for k, a, v in added.get(i, [])], key=lambda x: (x[0], -x[1]))
+                out, at = "", 0
+                for a, b, n in spans:
+                    out += f"{r[1][at:a]}[{n.upper()}]" if a >= at else ""
+                    at = max(at, b)
+                out += r[1][at:]
+                want.append((r[0], out, r[2], r[3], len(out)))
+            assert after == sorted(want, key=str) and any("at [EMAIL] today" in r[1] and r[0] == 410 for r in after)
+        else:
+            duck = duckdb.connect()
+            spark.createDataFrame(before, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/last")
+            duck.sql(f"create view documents as select * from '{tmp_path}/last/*.parquet'")
+            want = duck.sql(mixing.SQL["op7_mix_sources"]).fetchall()
+            got = left.select("doc_id", "source", "lang", "topic", F.round("expected", 4), "copies").collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(str((*w[:4], round(w[4], 4), w[5])) for w in want)
+    assert names == ["language", "near_duplicates", "decontaminate", "pii", "mix"]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/sf").count() == 0
+
+
 def test_redaction_of_repeated_and_null_ids(spark):
     rows = [(1, "a@b.cd is here"), (1, "nothing"), (1, "ring +49 30 1234567 now"), (None, "at x@y.zz"), (None, None), (None, "10.0.0.1 up")]
     got = [r["text"] for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
