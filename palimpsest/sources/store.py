@@ -146,14 +146,16 @@ class Store:
     def _trimmed(self, m: dict) -> dict:
         """Long lists go to files, with the bounds of gaps."""
         for kind in ("audit", "gaps", "operations"):
-            old = [o for o in m[kind] if kind != "operations" or o["state"] == STATE_DONE]
-            if len(old) <= TAIL:
+            done = [kind != "operations" or o["state"] == STATE_DONE for o in m[kind]]
+            if sum(done) <= TAIL:
                 continue
-            old = old[:-TAIL] if kind != "operations" else old
+            if kind != "operations":  # the last ones stay
+                done = [k < len(done) - TAIL for k in range(len(done))]
+            old = [o for o, x in zip(m[kind], done) if x]
             name = f"log/{kind}-{uuid.uuid4().hex}.json"
             self.files.create(name, "\n".join(json.dumps(o) for o in old))
             bounds = (min(o["from_ts"] for o in old), max(o["to_ts"] for o in old)) if kind == "gaps" else (0, 0)
-            m = m | {kind: [o for o in m[kind] if o not in old], "files": [*m["files"], {"kind": kind, "name": name, "min_ts": bounds[0], "max_ts": bounds[1]}]}
+            m = m | {kind: [o for o, x in zip(m[kind], done) if not x], "files": [*m["files"], {"kind": kind, "name": name, "min_ts": bounds[0], "max_ts": bounds[1]}]}
         return m
 
     def _logged(self, m: dict, kind: str, keep: Callable[[dict], bool] = lambda f: True) -> list[dict]:

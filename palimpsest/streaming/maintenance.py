@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, field, fields
 from time import monotonic
@@ -10,7 +11,8 @@ from palimpsest.sources.store import Store
 
 PHASES = ("COMPACT", "VERIFY", "RETAIN", "CHECKPOINT", "SEAL")
 #: Outcomes of a step.
-PROGRESSED, QUARANTINED, NO_WORK, DEFERRED, CANCELLED = "PROGRESSED", "QUARANTINED", "NO_WORK", "DEFERRED", "CANCELLED"
+COMPLETED, PROGRESSED, QUARANTINED, UNVERIFIED = "COMPLETED", "PROGRESSED", "QUARANTINED", "UNVERIFIED"
+NO_WORK, DEFERRED, CANCELLED = "NO_WORK", "DEFERRED", "CANCELLED"
 UNITS = {"ms": 1, "s": 1000, "m": 60000, "h": 3600000, "d": 86400000}
 
 
@@ -67,8 +69,39 @@ class Config:
         return cls(budget=budget, **{k: v for k, v in got.items() if k in ("interval", "retention")}), foreign
 
 
+    def render(self, foreign: dict[str, str] | None = None) -> str:
+        """The text that parse() reads, keys of others after ours."""
+
+        def duration(ms: int) -> str:
+            unit = next(u for u in ("d", "h", "m", "s", "ms") if ms % UNITS[u] == 0)
+            return f"{ms // UNITS[unit]}{unit}"
+
+        lines = ["# between rounds of maintenance", f"interval: {duration(self.interval)}", "# age of rows that expire; leave out to keep all"]
+        lines.append("# retention: 365d" if self.retention is None else f"retention: {duration(self.retention)}")
+        lines += ["# of a step: rows, shards (2 to 1024) and milliseconds (1 to 60000)", *(f"{f.name}: {getattr(self.budget, f.name)}" for f in fields(Budget))]
+        return "\n".join([*lines, *(f"{k}: {v}" for k, v in (foreign or {}).items())]) + "\n"
+
+    @classmethod
+    def load(cls, path: str) -> tuple[Config, dict[str, str]]:
+        """From a file, which is made with the defaults if it is not there."""
+        if not os.path.exists(path):
+            cls().save(path)
+        with open(path) as f:
+            return cls.parse(f.read())
+
+    def save(self, path: str, foreign: dict[str, str] | None = None) -> None:
+        part = f"{path}.part"
+        with open(part, "w") as f:
+            f.write(self.render(foreign))
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(part, path)
+
+
 class Schedule:
-    """tick() makes at most one step, so that ingestion goes on between steps."""
+    """tick() makes at most one step, so that ingestion goes on between steps. A step that takes longer than its budget is
+    the last of its phase in this round, and a verification stops within it; set cancelled to stop before the next one.
+    """
 
     def __init__(self, store: Store, config: Config = Config()):
         self.store, self.config, self.phase, self.next, self.cancelled = store, config, 0, 0, False
@@ -92,14 +125,21 @@ class Schedule:
         return name, outcome
 
     def _step(self, name: str, now: int) -> str:
-        b = self.config.budget
+        b, began = self.config.budget, monotonic()
         if name == "COMPACT":
-            return PROGRESSED if self.store.compact(b.rows, b.shards) else NO_WORK
+            step, _ = self.store.compact_step(b.rows, b.shards)
+            return NO_WORK if step is None else COMPLETED if step == "COMPACT" else PROGRESSED
         if name == "VERIFY":
-            out = self.store.verify()
-            return QUARANTINED if out["quarantined"] else PROGRESSED if out["verified"] else NO_WORK
+            out = self.store.verify(stop=lambda: self.cancelled or (monotonic() - began) * 1000 > b.ms)
+            if out["quarantined"] or out["bad_blobs"]:
+                return QUARANTINED
+            return UNVERIFIED if out["unverified"] else COMPLETED if out["verified"] else NO_WORK
         if name == "RETAIN":
-            return PROGRESSED if self.config.retention is not None and self.store.retain_shard(now - self.config.retention) else NO_WORK
+            if self.config.retention is None:
+                return NO_WORK
+            if self.store.readers():
+                return DEFERRED
+            return PROGRESSED if self.store.retain_shard(now - self.config.retention) else NO_WORK
         if name == "CHECKPOINT":  # old snapshots; there is no other log to cut
             return PROGRESSED if self.store.vacuum() else NO_WORK
-        return PROGRESSED if self.store.seal(b.shards) else NO_WORK
+        return PROGRESSED if self.store.seal(most_rows=b.rows) else NO_WORK

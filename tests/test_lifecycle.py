@@ -14,10 +14,10 @@ from palimpsest.operators.rollback import Rollbacks
 from palimpsest.plans.scan_plan import ScanPlan
 from palimpsest.schema import MUTATION, StoreError
 from palimpsest.sources import density, journal, store as stores
-from palimpsest.sources.spool import FULL, TAKEN, TOO_LONG, Spool
+from palimpsest.sources.spool import FULL, TAKEN, TOO_LONG, Spool, to_journal
 from palimpsest.sources.store import Store
 from palimpsest.streaming import ingest
-from palimpsest.streaming.maintenance import Schedule
+from palimpsest.streaming.maintenance import Budget, Config, Schedule
 
 T0 = 1_800_000_000_000
 
@@ -85,14 +85,16 @@ def test_streams_have_their_own_watermarks(spark, tmp_path):
 def test_long_lists_leave_the_manifest(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stores, "TAIL", 4)
     s = Store(spark, f"file://{tmp_path}/s")
-    for k in range(12):
+    for k in range(10):
         s.record_gap(100 * k, 100 * k + 9, 1)
+    s.record_gap(100, 109, 1)
+    s.record_gap(900, 909, 1)  # as one that is there
     ops = [s.begin_operation("run", {"k": k}) for k in range(7)]
     for k in ops:
         s.finish_operation(k, 2, {})
     m = s.manifest()
     assert len(m["gaps"]) <= 4 and len(m["operations"]) <= 5 and s.stats()["gaps"] == 12
-    assert [g["from_ts"] for g in s.gaps_between(105, 320).collect()] == [100, 200, 300]
+    assert [g["from_ts"] for g in s.gaps_between(105, 320).collect()] == [100, 100, 200, 300]
     assert s.operation(ops[0])["plan"] == {"k": 0} and s.begin_operation("run", {}) == 8
 
 
@@ -248,6 +250,49 @@ def test_spool(tmp_path):
     assert len(q) == 0 and q.losses() == (0, None, None) and q.offer(1, b"") == TAKEN and q.peek()[0] == 4
 
 
+def test_what_waits_goes_through_the_journal(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    q, w, s = Spool(str(tmp_path / "q"), 2), journal.Writer(str(tmp_path / "j")), Store(spark, f"file://{tmp_path}/s")
+    for k in range(3):
+        q.offer(T0 + k, journal.Envelope(1, k, 64, 3, 10, 11, T0 + k, 16, k, 2, 1, 7, b"p").encode())
+    assert to_journal(q, w) == 2 and len(q) == 0 and q.losses()[0] == 0 and to_journal(q, w) == 0
+    w.append(journal.CLOSE, b"")
+    w.close()
+    told = journal.recover(s, str(tmp_path / "j"))
+    assert (told["captured"], told["clean"]) == (2, True) and s.refs().count() == 2
+    assert [(g["from_ts"], g["to_ts"], g["dropped"]) for g in s.gaps_between(0, 2 * T0).collect()] == [(T0 + 2, T0 + 2, 1)]
+
+
+def test_configuration_files(tmp_path):
+    path = str(tmp_path / "c")
+    assert Config.load(path) == (Config(), {}) and Config.load(path) == (Config(), {})
+    own = Config(interval=5400000, retention=86400000, budget=Budget(rows=7, shards=3, ms=2))
+    own.save(path, {"colour": "red"})
+    assert Config.load(path) == (own, {"colour": "red"}) and "interval: 90m" in own.render() and os.listdir(tmp_path) == ["c"]
+
+
+def test_phases_and_their_outcomes(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    for k in range(2):
+        s.append(line(spark, 5, T0 + 10 * k), k)
+        s.seal()
+    schedule = Schedule(s, Config(retention=1000, budget=Budget(ms=60000)))
+    with s.open_reader():
+        said = [schedule.tick(T0 + 1002) for _ in range(7)]
+    assert said == [("COMPACT", "PROGRESSED"), ("COMPACT", "PROGRESSED"), ("COMPACT", "COMPLETED"), ("VERIFY", "COMPLETED"), ("RETAIN", "DEFERRED"), ("CHECKPOINT", "NO_WORK"), ("SEAL", "NO_WORK")]
+    schedule.next = 0
+    schedule.cancelled = True
+    assert schedule.tick(T0 + 1002) == ("COMPACT", "CANCELLED")
+    schedule.cancelled = False
+    said = [schedule.tick(T0 + 1002) for _ in range(4)]
+    assert said[2:] == [("RETAIN", "PROGRESSED"), ("RETAIN", "NO_WORK")] and s.rows().count() == 8
+    slow = Schedule(s, Config(budget=Budget(ms=1)))
+    slow.phase = 1
+    s.append(line(spark, 5, T0 + 100), 2)
+    s.seal()
+    assert slow.tick(0) == ("VERIFY", "UNVERIFIED")
+
+
 def test_dictionaries_are_replaced_whole_or_not(spark, tmp_path):
     path = f"{tmp_path}/names"
     rows = lambda *r: spark.createDataFrame(r, "id int, name string")
