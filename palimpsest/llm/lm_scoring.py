@@ -22,6 +22,8 @@ all counts are zero (N = V = 0). Texts of any length are scored whole. Extra col
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -159,12 +161,30 @@ def mixed_lengths(costs: np.ndarray, at: np.ndarray, starts: np.ndarray, stops:
 
 def code_lengths(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     """Minus the natural logarithm of the probability of each text, by the bits alone."""
-    costs = byte_costs(data, at, tables)
+    costs = byte_costs(data, at, paths(tables))
     return np.add.reduceat(costs, at[:-1] + np.arange(len(at) - 1)) if len(at) > 1 else np.zeros(0)
 
 
-def byte_costs(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Minus the natural logarithm of the probability of each byte, and of the end after each text's."""
+def paths(tables: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each table, the logits on the way to each half byte, with the sign of the bit that is taken: four bytes as one number.
+
+    The first is by (context, upper half), the second by (context, byte). One look-up then gives four bits' logits.
+    """
+    out = []
+    for table in tables:
+        rows = table.reshape(-1, 256)
+        upper, lower = np.empty((len(rows), 16, 4), np.int8), np.empty((len(rows), 256, 4), np.int8)
+        sign = _SIGN.astype(np.int8)
+        for i in range(0, len(rows), 4096):
+            part = rows[i : i + 4096]
+            upper[i : i + 4096] = part[:, _NODE[::16, :4]] * sign[::16, :4]
+            lower[i : i + 4096] = part[:, _NODE[:, 4:]] * sign[:, 4:]
+        out.append((upper.reshape(-1).view(np.uint32), lower.reshape(-1).view(np.uint32)))
+    return out
+
+
+def byte_costs(data: np.ndarray, at: np.ndarray, ways: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Minus the natural logarithm of the probability of each byte, and of the end after each text's. ways: of paths()."""
     size = np.diff(at) + 1
     out = np.zeros(len(data) + len(size))
     begin = at[:-1] + np.arange(len(size))
@@ -179,31 +199,46 @@ def byte_costs(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np
             row[PAD : PAD - 1 + size[k]] = data[at[k] : at[k + 1]]
         weights = [np.full((len(lanes), 1, 8), w, np.float32) for w in WEIGHTS]
         for start in range(0, own.shape[1] - PAD, STEP):
-            m = int(np.searchsorted(-size[lanes], -start))
+            m, whole = (int(np.searchsorted(-size[lanes], -x)) for x in (start, start + STEP - 1))
             part = own[:m, PAD + start : PAD + start + STEP]
             prev = [own[:m, PAD - 1 - d + start : PAD - 1 - d + start + STEP] for d in range(PAD)]
-            node, sign = _NODE[part], _SIGN[part]
-            logit = [t.take((contexts(prev, o, b) << 8)[:, :, None] + node).astype(np.float32) for t, (o, b) in zip(tables, TABLES)]
+            upper = part >> 4
+            logit = []
+            for (a, b), (o, bits) in zip(ways, TABLES):
+                context = contexts(prev, o, bits)
+                four = np.empty((*context.shape, 2), np.uint32)
+                four[..., 0] = a.take((context << 4) + upper)
+                four[..., 1] = b.take((context << 8) + part)
+                logit.append(four.view(np.int8).astype(np.float32))
             x = logit[0] * weights[0][:m]
             for s, w in zip(logit[1:], weights[1:]):
                 x += s * w[:m]
-            x *= sign
             x *= np.float32(-1 / QUANTUM)
             np.clip(x, -40, 40, out=x)
             np.exp(x, out=x)
-            valid = (start + np.arange(STEP) < size[lanes[:m], None])[:, :, None]
-            cost = np.log(1 + x)
-            cost *= valid
-            inside = valid[:, :, 0]
-            out[(begin[lanes[:m], None] + np.arange(start, start + STEP))[inside]] = cost.sum(2, dtype=np.float64)[inside]
-            x /= 1 + x
-            x *= sign
-            x *= valid
+            one = 1 + x
+            cost = np.log(one[..., 0::2] * one[..., 1::2])  # at most e**80
+            cost = cost[..., 0].astype(np.float64) + cost[..., 1] + cost[..., 2] + cost[..., 3]
+            valid = start + np.arange(STEP) < size[lanes[:m], None]
+            out[(begin[lanes[:m], None] + np.arange(start, start + STEP))[valid]] = cost[valid]
+            x /= one
+            x[whole:] *= valid[whole:, :, None]
             for s, w in zip(logit, weights):
                 w[:m] += np.float32(RATE / STEP / QUANTUM) * np.einsum("lsb,lsb->lb", x, s)[:, None, :]
     return out
 
 
+#: The paths of the last tables that this process was given, which tasks of one query share.
+_KEPT: dict[str, list] = {}
+
+
+def _kept(key: str, tables: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = paths(tables)
+    return _KEPT[key]
+
+
 def _cells(group: pa.Table) -> np.ndarray:
     """The sums of messages with cells of one piece of a table."""
     kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
@@ -243,14 +278,14 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
     def words(group: pa.Table):
         data, at = c.text_bytes(group["text"])
         hashes, first = c.word_hashes(data, at, _FOLD)
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         starts = c.runs(hashes[order])
         return data, at, hashes, first, order, starts
 
     def pairs(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, first: np.ndarray):
         begin, stop, follows, key = units(data, at, hashes, first)
         which = np.flatnonzero(follows)
-        which = which[np.argsort(key[which], kind="stable")]
+        which = which[np.argsort(key[which])]
         return begin, stop, follows, key, which, c.runs(key[which])
 
     def gather(group: pa.Table) -> pa.Table:
@@ -311,7 +346,7 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
     for row in cells.groupBy("kind", "bucket").applyInArrow(_finish_cells, _PIECES).toLocalIterator():
         part = np.frombuffer(row["counts"], np.int8)
         tables[row["kind"] - 1][row["bucket"] * PIECE :][: len(part)] = part
-    shared = spark.sparkContext.broadcast(tables)
+    shared, model = spark.sparkContext.broadcast(tables), uuid.uuid4().hex
 
     def score(group: pa.Table, told: pa.Table) -> pa.Table:
         data, at, hashes, first, order, starts = words(group)
@@ -329,7 +364,7 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
         by_word = np.zeros(len(hashes), np.int64)
         by_word[order] = np.repeat(counts, np.diff(starts, append=len(hashes)))
         prev = np.concatenate([[0], by_word[:-1]])[: len(by_word)]
-        lengths = mixed_lengths(byte_costs(data, at, shared.value), at, begin, stop, follows, first, by_pair, prev)
+        lengths = mixed_lengths(byte_costs(data, at, _kept(model, shared.value)), at, begin, stop, follows, first, by_pair, prev)
         logs = np.concatenate([[0.0], np.cumsum(np.log10(by_word + 0.5))])
         known = np.concatenate([[0], np.cumsum(by_word > 0)])
         n_tokens = np.diff(first) + 1

@@ -204,7 +204,7 @@ def test_lm_bits_against_a_slow_mixer():
         t[cells] = n
     tables = [lm_scoring.logits(t.reshape(-1, 256)).ravel() for t in tables]
     data, at = common.text_bytes(pa.array([x.decode() for x in texts_]))
-    got = lm_scoring.byte_costs(data, at, tables)
+    got = lm_scoring.byte_costs(data, at, lm_scoring.paths(tables))
     want = [x for t in texts_ for x in slow_mixer(t, train)]
     assert got == pytest.approx(want, rel=1e-3, abs=1e-4)
 
