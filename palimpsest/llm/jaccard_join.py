@@ -39,7 +39,7 @@ BLOCK_BYTES = 8_000_000
 #: Texts in a block: a flag is held for each pair of two blocks, and STRIPE pairs at a time are counted and compared.
 BLOCK_ROWS, STRIPE = 10_000, 2_000_000
 #: A cluster of more than PART_ROWS texts has at least so many blocks as parts of that size, or MOST_PARTS.
-PART_ROWS, MOST_PARTS = 384, 8
+PART_ROWS, MOST_PARTS = 1000, 4
 _SIGNED = "row bigint, doc_id bigint, same binary, n_shingles int, minhash binary, bands array<bigint>, text string"
 _LINKED = "id bigint, links bigint, root bigint"
 
