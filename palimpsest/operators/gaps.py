@@ -45,16 +45,24 @@ def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _any(conditions: list[Column]) -> Column:
+    """One of them holds. They are joined in pairs: one after the other, thousands would be too deep a tree for the planner."""
+    while len(conditions) > 1:
+        conditions = [reduce(lambda p, q: p | q, conditions[i : i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0] if conditions else F.lit(False)
+
+
 def _inside(windows: list[tuple[int, int]]) -> Column:
-    return reduce(lambda p, q: p | q, [(F.col("ts") >= low) & (F.col("ts") < high) for low, high in windows], F.lit(False))
+    return _any([(F.col("ts") >= low) & (F.col("ts") < high) for low, high in windows])
 
 
 def without_excluded(rows: DataFrame, exclusions: DataFrame, most_literals: int = MOST_LITERALS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Rows that no exclusion matches: its actor or, where it has none, any, and a half-open window.
 
     Exclusions are decisions of operators. Those of any actor are removals of all before some time: they are merged on
-    the driver and said as literals, which parquet prunes by. Those of an actor are literals too if there are few; else
-    they are joined by actor, broadcast behind a check of their number. Rows are never broadcast, nor met by a nested loop.
+    the driver and said as literals, which parquet prunes by. Those of an actor are literals too if there are few, actors
+    with the same windows as one list; else they are joined by actor, broadcast behind a check of their number. Rows are
+    never broadcast, nor met by a nested loop.
     """
     e = exclusions.select(F.col("actor").cast("int").alias("e_actor"), F.col("from_ts").cast("bigint").alias("e_from"), F.col("to_ts").cast("bigint").alias("e_to")).filter("e_from < e_to")
     every = merged([(r["e_from"], r["e_to"]) for r in e.filter("e_actor is null").select("e_from", "e_to").distinct().collect()])
@@ -68,7 +76,10 @@ def without_excluded(rows: DataFrame, exclusions: DataFrame, most_literals: int
         by: dict[int, list[tuple[int, int]]] = {}
         for r in of_actor.collect():
             by.setdefault(r["e_actor"], []).append((r["e_from"], r["e_to"]))
-        own = reduce(lambda p, q: p | q, [(F.col("actor") == a) & _inside(merged(w)) for a, w in sorted(by.items())])
+        alike: dict[tuple[tuple[int, int], ...], list[int]] = {}
+        for a, w in sorted(by.items()):
+            alike.setdefault(tuple(merged(w)), []).append(a)
+        own = _any([F.col("actor").isin(actors) & _inside(list(w)) for w, actors in alike.items()])
         return rows.filter(~F.coalesce(own, F.lit(False)))
     of_actor = F.broadcast(of_actor) if n <= most_broadcast else of_actor.hint("merge")
     return rows.join(of_actor, (F.col("actor") == F.col("e_actor")) & (F.col("ts") >= F.col("e_from")) & (F.col("ts") < F.col("e_to")), "left_anti")

@@ -47,6 +47,19 @@ def test_no_exclusion_broadcasts_the_history(spark, tmp_path):
     assert gaps.merged([(5, 9), (1, 3), (3, 4), (8, 12)]) == [(1, 4), (5, 12)]
 
 
+def test_thousands_of_literal_exclusions(spark):
+    rows = line(spark, 400).withColumn("actor", (F.col("seq") % 10).cast("int"))
+    alike = [(a, T0, T0 + 300) for a in range(0, 20_000, 5)]
+    own = [(a, T0 + a % 300, T0 + a % 300 + 9) for a in range(1, 900, 2)]
+    every = [(None, T0 + 4 * i, T0 + 4 * i + 1) for i in range(50, 450)]
+    for given in (alike, own, every):
+        e = spark.createDataFrame(given, "actor int, from_ts bigint, to_ts bigint")
+        literal, joined = gaps.without_excluded(rows, e, 10**6), gaps.without_excluded(rows, e, 0)
+        want = [r["seq"] for r in rows.collect() if not any(a in (None, r["actor"]) and low <= r["ts"] < high for a, low, high in given)]
+        assert sorted(r["seq"] for r in literal.collect()) == sorted(r["seq"] for r in joined.collect()) == want
+        assert "Join" not in executed(literal)
+
+
 def test_of_two_writers_one_publishes(spark, tmp_path):
     s, errors = Store(spark, f"file://{tmp_path}/s"), []
 
