@@ -23,6 +23,8 @@ BATCH_BYTES = 8_000_000
 BUCKET_ENTRIES = 1_500_000
 #: Rows that are equal in doc_id and text, at most, in one batch.
 MOST_EQUAL = 1000
+#: Words of 64 row numbers that are broadcast, at most: those of some 64 million rows.
+MOST_WORDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def among(df: DataFrame, number: str, rows: DataFrame, inside: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows of df whose number, from 0 on, is one of column row of rows, or (inside=False) is none of them.
+
+    Rows go as bits, 64 numbers a word, so up to most_words of them are broadcast, behind a count, and df, with its texts,
+    stays where it is; beyond that, df is joined to them by a shuffle.
+    """
+    bit = F.expr("shiftleft(1L, cast(row & 63 as int))")
+    words = saved(rows.select(F.shiftright("row", 6).alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits")))
+    n = words.count()
+    if not n:
+        return df.filter(F.lit(False)) if inside else df
+    words = F.broadcast(words) if n <= most_words else words.hint("merge")
+    hit = F.coalesce(F.getbit("__bits", F.col(number).bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1, F.lit(False))
+    return df.join(words, F.shiftright(number, 6) == F.col("__word"), "left").filter(hit if inside else ~hit).select(*df.columns)
+
+
 def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES, also: tuple[str, ...] = (), most_equal: int = MOST_EQUAL) -> tuple[DataFrame, int, int]:
     """doc_id, text (null: empty), the columns of also, and batch, a number under the second result; the third is the bytes of all texts.
 

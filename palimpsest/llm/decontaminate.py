@@ -150,16 +150,19 @@ def _without(text: Column, spans: Column) -> Column:
     return c.let(zipped, of)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
-    """docs without contaminated documents, or (remove="spans") with the words that windows cover taken out of texts."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """docs without contaminated documents, or (remove="spans") with the words that windows cover taken out of texts.
+
+    Keys of contaminated documents are broadcast, so texts stay where they are, if a count says there are few enough.
+    """
     key = [F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), text_key(F.col("text")) == F.col("__key")]
     if remove == "spans":
         found = hits(docs, benchmark, window).filter(F.size("spans") > 0)
         gone = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.first("spans").alias("__spans"))
         text = _without(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("__spans"))
         return docs.join(gone, key, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
-    bad = report(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(c.saved(bad), key, "left_anti")
+    bad = c.saved(report(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    return docs.join(F.broadcast(bad) if bad.count() <= most_broadcast else bad.hint("merge"), key, "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

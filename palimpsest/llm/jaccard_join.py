@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from palimpsest.llm import common as c
 
@@ -232,10 +233,16 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
 
 def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """jaccard_join() with same, the MD5 of the text, and head, a number that all rows of a group have in common; null for rows that link to nothing."""
-    least = least_agreeing(threshold, tolerance)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text")
+    """jaccard_join() with row, a number, same, the MD5 of the text, and head, a number that all rows of a group have in common; null for rows that link to nothing."""
+    return _linked(_signed(docs), threshold, tolerance, block_bytes, block_rows, part_rows)
+
+
+def _signed(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """A table of row, a number that it fixes, doc_id, same, n_shingles, minhash, bands, text, and own: the columns of also."""
+    own = [F.struct(*also).alias("own")] if also else []
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
+    same = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("same")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", same, "text", *(["own"] if also else []))
 
     def sign(batches):
         for batch in batches:
@@ -260,19 +267,28 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
                         "bands": pa.array(keep, pa.list_(pa.int64())),
                         "text": part.column("text"),
                     }
+                    | ({"own": part.column("own")} if also else {})
                 )
 
-    # the table fixes the numbers of rows
-    signed = c.saved(rows.mapInArrow(sign, _SIGNED))
+    fields = [StructField("own", StructType([StructField(f.name, f.dataType) for f in rows.schema["own"].dataType]))] if also else []
+    return c.saved(rows.mapInArrow(sign, StructType([*StructType.fromDDL(_SIGNED), *fields])))
+
+
+def _linked(signed: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """linked() of what _signed() made."""
+    least = least_agreeing(threshold, tolerance)
     classes = c.saved(signed.filter("n_shingles > 0").groupBy("same").agg(F.min("row").alias("id"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    heads = signed.join(classes.select(F.col("id").alias("row"), "copies"), "row").withColumnRenamed("row", "id")
-    members = c.saved(heads.select("id", F.explode("bands").alias("band")))
+    # rows are picked by bits, so neither signatures nor texts are shuffled to find them
+    heads = c.among(signed.select("row", "bands"), "row", classes.select(F.col("id").alias("row")))
+    members = c.saved(heads.select(F.col("row").alias("id"), F.explode("bands").alias("band")))
     hubs = members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = members.join(hubs, "band").filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     clusters = components(c.saved(stars)).withColumnRenamed("root", "cluster")
 
     bytes_of = 8 * F.col("n_shingles").cast("bigint") + 2 * _N
-    blocks_of = heads.select("id", "copies", "minhash", "n_shingles").join(clusters, "id")
+    clustered = clusters.select(F.col("id").alias("row"))
+    blocks_of = c.among(signed.select("row", "minhash", "n_shingles"), "row", clustered).withColumnRenamed("row", "id")
+    blocks_of = blocks_of.join(c.saved(clusters.join(classes.select("id", "copies"), "id")), "id")
     parts = F.greatest(F.sum(bytes_of) / block_bytes, F.count("*") / block_rows, F.least(F.count("*") / part_rows, F.lit(MOST_PARTS)))
     sizes = blocks_of.groupBy("cluster").agg(F.ceil(parts).cast("int").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -289,8 +305,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
             sets, bounds = shingles(batch.column("text"))
             yield pa.record_batch({"id": batch.column("row"), "shingles": pa.array([sets[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
-    sets = signed.select("row", "text").join(clusters.select(F.col("id").alias("row")), "row", "left_semi")
-    sets = sets.mapInArrow(shingle, "id bigint, shingles binary")
+    sets = c.among(signed.select("row", "text"), "row", clustered).mapInArrow(shingle, "id bigint, shingles binary")
 
     def compare(group: pa.Table) -> pa.Table:
         found = []
@@ -319,9 +334,9 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
     least_of = facts.groupBy("head").agg(F.min("first").alias("class_id"))
     facts = facts.join(least_of, "head").select("same", "links", "head", "class_id")
     return (
-        signed.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("same")).alias("same"))
+        signed.select("row", "doc_id", F.when(F.col("n_shingles") > 0, F.col("same")).alias("same"))
         .join(facts, "same", "left")
-        .select("doc_id", F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), "same", "head")
+        .select("row", "doc_id", F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), "same", "head")
     )
 
 
@@ -329,15 +344,15 @@ def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates, of equal texts too; rows that link to nothing all stay.
 
     The row that stays has the smallest doc_id of its group (nulls last) and, of equal ones, the text whose MD5 is smallest;
-    of rows that are equal in both, one stays.
+    of rows that are equal in both, one stays. Rows are written once, with numbers, and go by bits: texts are not shuffled.
     """
-    same = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    groups = linked(docs).filter("n_links > 0")
-    groups = c.saved(groups.groupBy("same", "head").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "same")).alias("best")))
-    best = groups.groupBy("head").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.same").alias("__same"))
-    alone = docs.join(groups.select(F.col("same").alias("__same")), same == F.col("__same"), "left_anti")
-    chosen = docs.join(best, (same == F.col("__same")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")))
-    return alone.unionByName(chosen.dropDuplicates(["__id", "__same"]).select(*docs.columns))
+    plain = docs.schema["text"].dataType == StringType() if "text" in docs.columns else False
+    signed = _signed(docs, tuple(x for x in docs.columns if not (plain and x == "text")))
+    groups = c.saved(_linked(signed).filter("n_links > 0").select("row", "doc_id", "same", "head"))
+    best = groups.groupBy("head").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "row")).alias("best"))
+    gone = groups.select("row").join(best.select("best.row"), "row", "left_anti")
+    kept = c.among(signed.select("row", "text", "own"), "row", gone, inside=False)
+    return kept.select(*[F.col("text") if plain and x == "text" else F.col("own")[x].alias(x) for x in docs.columns])
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

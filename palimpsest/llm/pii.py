@@ -124,19 +124,21 @@ def _free(found: Column, taken: Column) -> Column:
     return F.when(F.size(taken) == 0, found).otherwise(c.let(found, kept))
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base and secrets (kind number, start, stop, value, patterns; in the order of results) and candidates of each row."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+def mentions(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, text_hash, base and secrets (kind number, start, stop, value, patterns; in the order of results) and candidates of each row; whole: and own, all its columns."""
+    own_columns = [F.struct(*docs.columns).alias("own")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *own_columns).withColumn("text_hash", F.xxhash64("text"))
+    facts = ["doc_id", "text_hash", *(["own"] if whole else [])]
     needs = {"email": F.instr("text", "@") > 0, "phone": F.instr("text", "+") > 0}
     digit = F.col("text").rlike("[0-9]")
     every = {**PATTERNS, "secret": SECRET, "candidate": CANDIDATE}
-    rows = rows.select("doc_id", "text_hash", *[_matches(p, needs.get(name, digit)).alias(name) for name, p in every.items()])
+    rows = rows.select(*facts, *[_matches(p, needs.get(name, digit)).alias(name) for name, p in every.items()])
 
     def own(k: int, name: str) -> Column:
         good = F.filter(name, lambda s: _valid(name, s["value"]))
         return F.transform(good, lambda s: F.struct(F.lit(k).alias("kind"), *[s[x].alias(x) for x in ("start", "stop", "value", "patterns")]))
 
-    rows = rows.select("doc_id", "text_hash", F.concat(*[own(k, name) for k, name in enumerate(PATTERNS)]).alias("base"), "secret", "candidate")
+    rows = rows.select(*facts, F.concat(*[own(k, name) for k, name in enumerate(PATTERNS)]).alias("base"), "secret", "candidate")
     rows = rows.withColumn("secrets", own(len(PATTERNS), "secret")).withColumn("secrets", _free(F.col("secrets"), F.col("base")))
 
     def trimmed(s: Column) -> Column:
@@ -145,7 +147,7 @@ def mentions(docs: DataFrame) -> DataFrame:
         return F.struct((s["start"] + front).alias("start"), (s["start"] + front + F.length(value)).alias("stop"), value.alias("value"), s["patterns"].alias("patterns"))
 
     free = _free(F.transform("candidate", trimmed), F.concat("base", "secrets"))
-    return rows.select("doc_id", "text_hash", "base", "secrets", free.alias("candidates"))
+    return rows.select(*facts, "base", "secrets", free.alias("candidates"))
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -182,18 +184,29 @@ def discovered(edges: DataFrame, support: int = SUPPORT, confidence: float = CON
     return edges.sparkSession.createDataFrame([], "value string, kind int") if out is None else out
 
 
-def find(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
-    """doc_id, text_hash, base (spans of the fixed patterns) and added (secrets, and those discovered): kind number, start, stop, value, in order."""
-    found = c.saved(mentions(docs).withColumn("row", F.monotonically_increasing_id()))
+def _span(s: Column, kind: Column) -> Column:
+    return F.struct(kind.alias("kind"), *[s[x].alias(x) for x in ("start", "stop", "value")])
+
+
+def _spans(name: str) -> Column:
+    return F.transform(name, lambda s: _span(s, s["kind"]))
+
+
+def _added(found: DataFrame, support: int, confidence: float, rounds: int | None) -> DataFrame:
+    """row and added, the spans of values that became known, of the rows of found (mentions() with a number each, as saved) that have some."""
     new = discovered(c.saved(_edges(found)), support, confidence, rounds)
-    span = lambda s, k: F.struct(k.alias("kind"), *[s[x].alias(x) for x in ("start", "stop", "value")])
     salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("salt")
     rows = found.select("row", (F.col("row") % SALT).alias("salt"), F.explode("candidates").alias("s"))
     rows = rows.withColumn("value", F.col("s.value")).join(new.select("value", "kind", salt), ["value", "salt"])
-    added = rows.groupBy("row").agg(F.collect_list(span(F.col("s"), F.col("kind"))).alias("added"))
-    own = lambda name: F.transform(name, lambda s: span(s, s["kind"]))
-    none = F.filter(own("base"), lambda s: F.lit(False))
-    return found.join(added, "row", "left").select("doc_id", "text_hash", own("base").alias("base"), F.sort_array(F.concat(own("secrets"), F.coalesce("added", none))).alias("added"))
+    return rows.groupBy("row").agg(F.collect_list(_span(F.col("s"), F.col("kind"))).alias("added"))
+
+
+def find(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
+    """doc_id, text_hash, base (spans of the fixed patterns) and added (secrets, and those discovered): kind number, start, stop, value, in order."""
+    found = c.saved(mentions(docs).withColumn("row", F.monotonically_increasing_id()))
+    added = _added(found, support, confidence, rounds)
+    none = F.filter(_spans("base"), lambda s: F.lit(False))
+    return found.join(added, "row", "left").select("doc_id", "text_hash", _spans("base").alias("base"), F.sort_array(F.concat(_spans("secrets"), F.coalesce("added", none))).alias("added"))
 
 
 def listed(spans: Column) -> Column:
@@ -219,14 +232,17 @@ def _redacted(text: Column, spans: Column) -> Column:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of a text replaced by its kind in capitals and brackets; spans that overlap become one.
 
-    Rows with a null doc_id, and different texts of one doc_id, each get the spans of their own text.
+    Each row gets the spans of its own text. Rows are written once, beside their spans; only those in which a value that
+    became known stands are shuffled, to meet it.
     """
-    spans = find(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.concat("base", "added").alias("__spans"))
-    spans = spans.filter(F.size("__spans") > 0).groupBy("__id", "__hash").agg(F.first("__spans").alias("__spans"))
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.join(spans, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left")
-    text = _redacted(F.col("text").cast("string"), F.col("__spans"))
-    return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    found = c.saved(mentions(docs, whole=True).withColumn("row", F.monotonically_increasing_id()))
+    more = c.saved(_added(found, SUPPORT, CONFIDENCE, None))
+    rows = found.select("row", "own", F.concat(_spans("base"), _spans("secrets")).alias("spans"))
+    met = c.among(rows, "row", more).join(more, "row").select("own", F.concat("spans", "added").alias("spans"))
+    rows = c.among(rows, "row", more, inside=False).select("own", "spans").unionByName(met)
+    text = F.col("own")["text"]
+    text = F.when(F.size("spans") == 0, text).otherwise(_redacted(text.cast("string"), F.col("spans")))
+    return rows.select(*[(text if x.lower() == "text" else F.col("own")[x]).alias(x) for x in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

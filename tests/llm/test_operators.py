@@ -330,6 +330,28 @@ def test_jaccard_join_of_repeated_and_null_ids(spark):
     assert kept.columns == df.columns and sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == stay
 
 
+def test_stages_shuffle_no_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text), (3, f"{text} x"), (4, None), (None, "mail to a@b.org"), (6, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"a b": F.lit(1), "row": F.array(F.lit("r")), "own": F.current_timestamp()})
+    bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        stages = [(jaccard_join.representatives(docs), {1, 4, None, 6}), (decontaminate.decontaminated(docs, bench), {1, 2, 3, 4, None}), (pii.redacted(docs), {1, 2, 3, 4, None, 6})]
+        for out, want in stages:
+            assert {r["doc_id"] for r in out.collect()} == want and out.schema.simpleString() == docs.schema.simpleString()
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        n = spark.range(1000)
+        for picked in ([], list(range(0, 1000, 7)), list(range(1000))):
+            some = spark.createDataFrame([(k,) for k in picked], "row bigint")
+            for most in (100, 0):
+                assert sorted(r["id"] for r in common.among(n, "id", some, True, most).collect()) == picked
+                assert sorted(r["id"] for r in common.among(n, "id", some, False, most).collect()) == sorted(set(range(1000)) - set(picked))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def near_copies(rows: int, words: int, edits: int) -> jaccard_join._Block:
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(words)]
