@@ -14,7 +14,8 @@ probability of the whole text under one model, and score / log10(2) / bytes is m
 Counts come from all training documents: a table of bounded size for each byte context, of whose cells each batch sends
 those it saw, which are summed FAN batches at a time, level by level; and the counts of all words and of all pairs, which grow with the corpus and are never broadcast: a batch
 sends its distinct words and pairs as sorted sets of hashes (64 and PAIR_BITS bits) to buckets and gets back their
-counts. Only the quantised context tables (TABLES, 50 MB whatever the input) are broadcast.
+counts. Only the quantised context tables (TABLES, 50 MB whatever the input) are broadcast; a worker keeps them only as
+what it looks up (110 MB), and only while its tasks are of this query.
 
 Null or empty texts have one token, the end. Repeated rows count as often as they stand. Without training documents
 all counts are zero (N = V = 0). Texts of any length are scored whole. Extra columns are not read.
@@ -22,8 +23,6 @@ all counts are zero (N = V = 0). Texts of any length are scored whole. Extra col
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +54,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BYTE, _PLACE = np.arange(256)[:, None], np.arange(8)[None, :]
 _NODE = ((256 | _BYTE) >> (8 - _PLACE)).astype(np.int32)
-_SIGN = (((_BYTE >> (7 - _PLACE)) & 1) * 2 - 1).astype(np.float32)
+#: By byte and place: minus the sign of the bit that is taken, in units of a quantised logit.
+_TURN = ((1 - ((_BYTE >> (7 - _PLACE)) & 1) * 2) / QUANTUM).astype(np.float32)
 
 _MESSAGE = "kind int, bucket int, part int, batch int, entries binary, counts binary"
 _ANSWER = "kind int, bucket int, batch int, entries binary, counts binary, distinct bigint, total bigint"
@@ -146,7 +146,7 @@ def mixed_lengths(costs: np.ndarray, at: np.ndarray, starts: np.ndarray, stops:
         return out
     text = np.searchsorted(first, on, "right") - 1
     edges = np.stack([starts[on] + text, stops[on] + text + 1], 1).ravel()
-    bits = np.add.reduceat(np.append(costs, 0.0), edges)[::2]
+    bits = np.add.reduceat(costs, edges[:-1] if edges[-1] == len(costs) else edges)[::2]
     new = np.searchsorted(text, text)  # the first such unit of the same text
     hit = (pair[on] > 0).astype(np.int64)
     hits = np.cumsum(hit) - hit
@@ -166,23 +166,33 @@ def code_lengths(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) ->
 
 
 def paths(tables: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each table, the logits on the way to each half byte, with the sign of the bit that is taken: four bytes as one number.
+    """Of each table, the logits on the way to each half byte: four bytes as one number, so one look-up gives four bits' logits.
 
-    The first is by (context, upper half), the second by (context, byte). One look-up then gives four bits' logits.
+    The first is by (context, upper three bits), the second by (context, upper seven): which side the last bit of a half
+    takes is not on the way to it, and signs are the same for all tables.
     """
     out = []
     for table in tables:
         rows = table.reshape(-1, 256)
-        upper, lower = np.empty((len(rows), 16, 4), np.int8), np.empty((len(rows), 256, 4), np.int8)
-        sign = _SIGN.astype(np.int8)
+        upper, lower = np.empty((len(rows), 8, 4), np.int8), np.empty((len(rows), 128, 4), np.int8)
         for i in range(0, len(rows), 4096):
             part = rows[i : i + 4096]
-            upper[i : i + 4096] = part[:, _NODE[::16, :4]] * sign[::16, :4]
-            lower[i : i + 4096] = part[:, _NODE[:, 4:]] * sign[:, 4:]
+            upper[i : i + 4096] = part[:, _NODE[::32, :4]]
+            lower[i : i + 4096] = part[:, _NODE[::2, 4:]]
         out.append((upper.reshape(-1).view(np.uint32), lower.reshape(-1).view(np.uint32)))
     return out
 
 
+class Shared:
+    """Tables to broadcast: what arrives are their paths() alone."""
+
+    def __init__(self, tables: list[np.ndarray]):
+        self.tables = tables
+
+    def __reduce__(self):
+        return paths, (self.tables,)
+
+
 def byte_costs(data: np.ndarray, at: np.ndarray, ways: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Minus the natural logarithm of the probability of each byte, and of the end after each text's. ways: of paths()."""
     size = np.diff(at) + 1
@@ -202,18 +212,19 @@ def byte_costs(data: np.ndarray, at: np.ndarray, ways: list[tuple[np.ndarray, np
             m, whole = (int(np.searchsorted(-size[lanes], -x)) for x in (start, start + STEP - 1))
             part = own[:m, PAD + start : PAD + start + STEP]
             prev = [own[:m, PAD - 1 - d + start : PAD - 1 - d + start + STEP] for d in range(PAD)]
-            upper = part >> 4
+            three, seven = part >> 5, part >> 1
             logit = []
             for (a, b), (o, bits) in zip(ways, TABLES):
                 context = contexts(prev, o, bits)
                 four = np.empty((*context.shape, 2), np.uint32)
-                four[..., 0] = a.take((context << 4) + upper)
-                four[..., 1] = b.take((context << 8) + part)
+                four[..., 0] = a.take((context << 3) + three)
+                four[..., 1] = b.take((context << 7) + seven)
                 logit.append(four.view(np.int8).astype(np.float32))
             x = logit[0] * weights[0][:m]
             for s, w in zip(logit[1:], weights[1:]):
                 x += s * w[:m]
-            x *= np.float32(-1 / QUANTUM)
+            turn = _TURN.take(part, axis=0)
+            x *= turn
             np.clip(x, -40, 40, out=x)
             np.exp(x, out=x)
             one = 1 + x
@@ -222,23 +233,13 @@ def byte_costs(data: np.ndarray, at: np.ndarray, ways: list[tuple[np.ndarray, np
             valid = start + np.arange(STEP) < size[lanes[:m], None]
             out[(begin[lanes[:m], None] + np.arange(start, start + STEP))[valid]] = cost[valid]
             x /= one
+            x *= turn
             x[whole:] *= valid[whole:, :, None]
             for s, w in zip(logit, weights):
-                w[:m] += np.float32(RATE / STEP / QUANTUM) * np.einsum("lsb,lsb->lb", x, s)[:, None, :]
+                w[:m] -= np.float32(RATE / STEP) * np.einsum("lsb,lsb->lb", x, s)[:, None, :]
     return out
 
 
-#: The paths of the last tables that this process was given, which tasks of one query share.
-_KEPT: dict[str, list] = {}
-
-
-def _kept(key: str, tables: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = paths(tables)
-    return _KEPT[key]
-
-
 def _cells(group: pa.Table) -> np.ndarray:
     """The sums of messages with cells of one piece of a table."""
     kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
@@ -346,7 +347,7 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
     for row in cells.groupBy("kind", "bucket").applyInArrow(_finish_cells, _PIECES).toLocalIterator():
         part = np.frombuffer(row["counts"], np.int8)
         tables[row["kind"] - 1][row["bucket"] * PIECE :][: len(part)] = part
-    shared, model = spark.sparkContext.broadcast(tables), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(Shared(tables))
 
     def score(group: pa.Table, told: pa.Table) -> pa.Table:
         data, at, hashes, first, order, starts = words(group)
@@ -364,7 +365,7 @@ def lm_scoring(docs: DataFrame, held_out: F.Column | None = None, batch_bytes: i
         by_word = np.zeros(len(hashes), np.int64)
         by_word[order] = np.repeat(counts, np.diff(starts, append=len(hashes)))
         prev = np.concatenate([[0], by_word[:-1]])[: len(by_word)]
-        lengths = mixed_lengths(byte_costs(data, at, _kept(model, shared.value)), at, begin, stop, follows, first, by_pair, prev)
+        lengths = mixed_lengths(byte_costs(data, at, shared.value), at, begin, stop, follows, first, by_pair, prev)
         logs = np.concatenate([[0.0], np.cumsum(np.log10(by_word + 0.5))])
         known = np.concatenate([[0], np.cumsum(by_word > 0)])
         n_tokens = np.diff(first) + 1

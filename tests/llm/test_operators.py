@@ -4,6 +4,7 @@ import base64
 import bisect
 import hashlib
 import math
+import pickle
 import random
 import re
 import time
@@ -209,6 +210,22 @@ def test_lm_bits_against_a_slow_mixer():
     assert got == pytest.approx(want, rel=1e-3, abs=1e-4)
 
 
+def test_lm_tables_in_a_worker():
+    """Of the broadcast tables, a worker keeps 544 bytes a context, and not the tables themselves beside them."""
+    tables = [np.random.default_rng(b).integers(-127, 128, 1 << (b + 8), np.int8) for _, b in lm_scoring.TABLES]
+    sent = pickle.dumps(lm_scoring.Shared(tables))
+    tracemalloc.start()
+    got = pickle.loads(sent)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 545 * sum(1 << b for _, b in lm_scoring.TABLES)
+    for table, way, want in zip(tables, got, lm_scoring.paths(tables)):
+        assert all(np.array_equal(x, y) for x, y in zip(way, want))
+        for context, byte in ((0, 0), (5, 255), (len(table) // 256 - 1, 0b10110010)):
+            logits = way[0][context * 8 + (byte >> 5) :][:1].view(np.int8).tolist() + way[1][context * 128 + (byte >> 1) :][:1].view(np.int8).tolist()
+            assert logits == [table[context * 256 + ((256 | byte) >> (8 - d))] for d in range(8)]
+
+
 def test_lm_is_a_distribution():
     """Probabilities of different texts don't sum to more than one, and counts make what was seen likely."""
     data, at = common.text_bytes(pa.array(["abracadabra " * 50]))
